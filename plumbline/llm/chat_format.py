@@ -39,28 +39,30 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     link = durable(n.select("tree", "node", F.col("up").alias("far"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("gain")), "link")
     inner = n.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = durable(n.select("tree", "node").join(inner, ["tree", "node"], "left_anti"), "leaves")
-    levels, total, open_ = [link], n.count(), link.where("far is not null").count()
-    while open_ and 2 ** (len(levels) - 1) <= total:
-        a, b = levels[-1].alias("a"), levels[-1].alias("b")
+    # Nodes whose link has reached the root are closed; only open ones are joined on.
+    closed, open_ = link.where("far is null"), link.where("far is not null")
+    levels, total = [], n.count()
+    while 2 ** len(levels) <= 2 * total and not open_.isEmpty():
+        levels.append(open_)
+        a, b = open_.alias("a"), open_.unionByName(closed).alias("b")
         link = durable(
-            a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.far") == F.col("b.node")), "left").select(
+            a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.far") == F.col("b.node"))).select(
                 "a.tree",
                 "a.node",
                 F.col("b.far").alias("far"),
-                (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"),
-                (F.col("a.gain") + F.coalesce("b.gain", F.lit(0.0))).alias("gain"),
+                (F.col("a.steps") + F.col("b.steps")).alias("steps"),
+                (F.col("a.gain") + F.col("b.gain")).alias("gain"),
             ),
             "link",
         )
-        levels.append(link)
-        open_ = link.where("far is not null").count()
-    whole = levels[-1].where("far is null").select("tree", "node", F.col("steps").alias("depth"), "gain")
+        closed, open_ = closed.unionByName(link.where("far is null")), link.where("far is not null")
+    whole = closed.select("tree", "node", F.col("steps").alias("depth"), "gain")
     ranked = whole.join(leaves, ["tree", "node"], "left_semi")
     best = W.partitionBy("tree").orderBy(F.desc("gain"), "node")
     on = ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches).select("tree", F.col("node").alias("path"), "node", "depth")
-    for k in reversed(range(len(levels) - 1)):
+    for k in reversed(range(len(levels))):
         a, b = on.alias("a"), levels[k].alias("b")
-        more = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.node") == F.col("b.node"))).where("b.far is not null")
+        more = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.node") == F.col("b.node")))
         on = durable(on.unionByName(more.select("a.tree", "a.path", F.col("b.far").alias("node"), (F.col("a.depth") - 2**k).alias("depth"))), "on")
     return on
 
