@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, durable, id_hash, table
 
 END = b""
-SHORT, CLASSES, HIDDEN, EMBED, WINDOW, STREAM = 1000, 16, 24, 16, 16, 512
+SHORT, CLASSES, GROUP, HIDDEN, EMBED, WINDOW, STREAM = 1000, 16, 32, 24, 16, 16, 512
 #: Tokens of the warm start's sample, at most.
 WARM_TOKENS = 400_000
 #: Bytes of text that a block holds; blocks are what tasks load at once.
@@ -51,12 +51,13 @@ class Model:
         self.index = {t: i for i, t in enumerate(short)}
         self.n_short = len(short)
         order = np.argsort(short_class, kind="stable")
-        self.groups = [order[short_class[order] == c] for c in range(CLASSES + 1)]
+        self.n_group = int(short_class.max()) + 1
+        self.groups = [order[short_class[order] == c] for c in range(self.n_group)]
         self.group_of = short_class
         self.slot = np.zeros(self.n_short, np.int64)
         for g in self.groups:
             self.slot[g] = np.arange(len(g))
-        self.n_class = CLASSES + 1 + CLASSES
+        self.n_class = self.n_group + CLASSES
         self.default = int.from_bytes(b"tail", "big") % CLASSES
         rng = np.random.default_rng(0)
         f = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
@@ -74,7 +75,7 @@ class Model:
 
     def classes(self, ids: np.ndarray) -> np.ndarray:
         short = ids < self.n_short
-        return np.where(short, self.group_of[np.where(short, ids, 0)], CLASSES + 1 + ids - self.n_short)
+        return np.where(short, self.group_of[np.where(short, ids, 0)], self.n_group + ids - self.n_short)
 
     def states(self, ids: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The states before and after each of the inputs ``ids`` (steps, streams)."""
@@ -109,7 +110,7 @@ class Model:
             grads["Wc"], grads["bc"], dh = hs.T @ d, d.sum(0), d @ p["Wc"].T
             grads["Ws"], grads["bs"] = np.zeros_like(p["Ws"]), np.zeros_like(p["bs"])
         order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 2))
+        bounds = np.searchsorted(cls[order], np.arange(self.n_group + 1))
         for c, g in enumerate(self.groups):
             own = order[bounds[c] : bounds[c + 1]]
             if not len(own) or len(g) < 2:
@@ -190,31 +191,50 @@ class Model:
                     m2[name] += 0.01 * (dw * dw - m2[name])
                     p[name] -= rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + 1e-6)
 
-    def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Natural log probability of each document without the share of its tail tokens' counts."""
+    def score(self, docs: list[np.ndarray], streams: int = 4096, flush: int = 40_000) -> np.ndarray:
+        """Natural log probability of each document without the share of its tail tokens' counts.
+
+        The documents of a batch are packed step by step, longest first, so a step's active streams
+        are a slice; outputs are evaluated for many steps at once."""
+        p, k = self.p, HIDDEN
         out = np.zeros(len(docs))
-        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+        table = p["E"] @ p["Wx"] + p["bx"]
         start = np.int32(self.index[END])
-        for lo in range(0, len(order), 1024):
-            own = order[lo : lo + 1024]
+        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+        for lo in range(0, len(order), streams):
+            own = order[lo : lo + streams]
             size = np.array([len(docs[i]) for i in own])
-            h, last = np.zeros((len(own), HIDDEN), np.float32), np.full(len(own), start, np.int32)
-            at = 0
-            while at < size[0]:
-                n = int((size > at).sum())
-                w = min(int(size[n - 1]) - at, 32)  # no stream ends within a window
-                y = np.stack([docs[i][at : at + w] for i in own[:n]], 1)
-                hs, h = self.states_of(y, last[:n], h[:n])
-                lp, _ = self.log_probs(hs.reshape(-1, HIDDEN), y.ravel())
-                out[own[:n]] += lp.reshape(w, n).sum(0, dtype=np.float64)
-                last = y[-1]
-                at += w
+            y = np.concatenate([docs[i] for i in own])
+            first = np.cumsum(size) - size
+            x = np.r_[start, y[:-1]]
+            x[first] = start
+            step = np.arange(len(y), dtype=np.int32) - np.repeat(first, size).astype(np.int32)
+            packed = np.argsort(step, kind="stable")
+            x, y, stream = x[packed], y[packed], np.repeat(np.arange(len(own)), size)[packed]
+            active = np.bincount(step)
+            h = np.zeros((len(own), k), np.float32)
+            hs, done, at = np.empty((min(len(y), flush + len(own)), k), np.float32), 0, 0
+            for n in active:
+                h = h[:n]
+                gx, gh = table[x[at : at + n]], h @ p["U"]
+                rz = gx[:, : 2 * k] + gh[:, : 2 * k]
+                np.negative(rz, rz)
+                np.exp(rz, rz)
+                rz += 1
+                np.reciprocal(rz, rz)
+                c = gh[:, 2 * k :]
+                c *= rz[:, :k]
+                c += gx[:, 2 * k :]
+                np.tanh(c, c)
+                h = c + rz[:, k:] * (h - c)
+                hs[at - done : at - done + n] = h
+                at += n
+                if at - done >= flush or at == len(y):
+                    lp, _ = self.log_probs(hs[: at - done], y[done:at])
+                    np.add.at(out, np.asarray(own)[stream[done:at]], lp.astype(np.float64))
+                    done = at
         return out
 
-    def states_of(self, y: np.ndarray, last: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """States for predicting each of ``y``; the input of each step is the token before it."""
-        return self.states(np.concatenate([last[None], y[:-1]]), h)
-
 
 def cluster(vectors: np.ndarray, weight: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Weighted k-means with farthest-first starts."""
@@ -250,8 +270,16 @@ def build(short: list[bytes], sample: list[list[bytes]]) -> Model:
                 s = signature(t)
                 sig[s] += n * mix
                 n_sig[s] += n
-    cls = cluster(word / n_word[:, None], n_word, CLASSES)
-    cls[index[END]] = CLASSES
+    company = cluster(word / n_word[:, None], n_word, CLASSES)
+    company[index[END]] = CLASSES
+    # Classes of at most GROUP words of like company, by rank: the cost of a token is bounded so.
+    cls = np.zeros(len(short), np.int64)
+    n = 0
+    for c in range(CLASSES + 1):
+        own = np.flatnonzero(company == c)
+        for lo in range(0, len(own), GROUP):
+            cls[own[lo : lo + GROUP]] = n
+            n += 1
     names = sorted(sig)
     tail = cluster(np.array([sig[s] / n_sig[s] for s in names]).reshape(-1, 48), np.array([float(n_sig[s]) for s in names]), CLASSES)
     model = Model(short, cls, dict(zip(names, map(int, tail), strict=True)))
