@@ -164,19 +164,21 @@ class Model:
                 dh_all = np.zeros((w * n, k), np.float32)
                 dh_all[real] = d
                 dh_all = dh_all.reshape(w, n, k)
-                g["U"] = np.zeros_like(p["U"])
-                dgx = np.zeros((w, n, 3 * k), np.float32)
+                before, r, z, c, ghn = (np.stack(q) for q in zip(*keep, strict=True))
+                to_c, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), ghn * r * (1 - r)
+                dgh, ut = np.empty((w, n, 3 * k), np.float32), np.ascontiguousarray(p["U"].T)
+                dcs = np.empty((w, n, k), np.float32)
                 back = np.zeros((n, k), np.float32)
                 for t in range(w - 1, -1, -1):
-                    before, r, z, c, ghn = keep[t]
                     dh = dh_all[t] + back
-                    dc = dh * (1 - z) * (1 - c * c)
-                    dz = dh * (before - c) * z * (1 - z)
-                    dr = dc * ghn * r * (1 - r)
-                    dgx[t, :, :k], dgx[t, :, k : 2 * k], dgx[t, :, 2 * k :] = dr, dz, dc
-                    dgh = np.concatenate([dr, dz, dc * r], 1)
-                    g["U"] += before.T @ dgh
-                    back = dh * z + dgh @ p["U"].T
+                    dc = np.multiply(dh, to_c[t], out=dcs[t])
+                    np.multiply(dc, to_r[t], out=dgh[t, :, :k])
+                    np.multiply(dh, to_z[t], out=dgh[t, :, k : 2 * k])
+                    np.multiply(dc, r[t], out=dgh[t, :, 2 * k :])
+                    back = dh * z[t] + dgh[t] @ ut
+                g["U"] = before.reshape(-1, k).T @ dgh.reshape(-1, 3 * k)
+                dgx = dgh
+                dgx[:, :, 2 * k :] = dcs
                 dG = np.zeros((len(p["E"]), 3 * k), np.float32)
                 flat, ids = dgx.reshape(-1, 3 * k), x.ravel()
                 order = np.argsort(ids, kind="stable")
