@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, durable, table
 from .components import components
 
-LEAF_LIMIT, FAN = 4096, 8
+LEAF_LIMIT, FAN, LEVELS = 4096, 8, 3
 _SPREAD = np.array([int.from_bytes(bytes((b >> i) & 1 for i in range(8)), "little") for b in range(256)], dtype=np.uint64)
 
 
@@ -206,7 +206,7 @@ def route(codes: DataFrame, routes, limit: int = LEAF_LIMIT) -> list[DataFrame]:
     """Groups (members: array of (id, fp)) of 2 to ``limit`` distinct codes that share a pattern.
 
     ``codes`` has id and fp. Larger groups are dealt again by the masks below theirs, level by
-    level; those whose masks have nothing below are left whole."""
+    level; those whose masks have nothing below, or that are LEVELS down, are left whole."""
     w = routes.words
     masks = routes.first()
     rows = codes.select(
@@ -217,6 +217,7 @@ def route(codes: DataFrame, routes, limit: int = LEAF_LIMIT) -> list[DataFrame]:
         sizes = rows.groupBy("mask", "key").count()
         hot = durable(sizes.where(F.col("count") > limit).select("mask", "key"), "hot")
         n_hot = hot.count()
+        n_hot = n_hot if len(out) < LEVELS else 0
         below = {i: routes.below(masks[i]) for i in {r.mask for r in hot.select("mask").distinct().collect()}} if n_hot else {}
         below = {i: m for i, m in below.items() if m}  # there are as many masks as the routes define
         cold = rows
