@@ -178,17 +178,21 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def _clean(index):
+    """A filter that is false for texts in which a passage of the block is found."""
+    cache: list[Index] = []
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        if not cache:
+            cache.append(Index(index.value))
+        return texts.map(lambda t: not (isinstance(t, str) and cache[0].search(normal(t)))).astype(bool)
+
+    return clean
+
+
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that hold no benchmark passage, in one pass for each block."""
     for block in blocks_of(table(spark, sf_dir, "benchmark")):
-        index = spark.sparkContext.broadcast(block)
-        cache: dict[int, Index] = {}
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, index=index, cache=cache) -> pd.Series:
-            if 0 not in cache:
-                cache[0] = Index(index.value)
-            return texts.map(lambda t: not (isinstance(t, str) and cache[0].search(normal(t)))).astype(bool)
-
-        docs = docs.where(clean("text"))
+        docs = docs.where(_clean(spark.sparkContext.broadcast(block))("text"))
     return docs
