@@ -170,14 +170,20 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(run, PARSED)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+#: Bytes of the hosts' winning paths up to which they are broadcast.
+BROADCAST_BYTES = 32_000_000
+
+
+def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text) of every page, from a DataFrame with page_id, url and html."""
     parsed = durable(parse_pages(pages), "parsed")
     # A page's vote weighs at most 1; partial sums are made before the votes of a host meet.
     votes = parsed.where("own IS NOT NULL").groupBy("host", "own").agg(F.sum(F.least(F.lit(1.0), F.col("score") / 200)).alias("votes"))
     rank = F.row_number().over(W.partitionBy("host").orderBy(F.desc("votes"), "own"))
-    win = votes.withColumn("rank", rank).where("rank = 1").select("host", F.col("own").alias("winner"))
-    out = parsed.join(win, "host", "left")
+    win = durable(votes.withColumn("rank", rank).where("rank = 1").select("host", F.col("own").alias("winner")), "winners")
+    # The texts move only where the winners are too many to be sent; that join splits a hot host.
+    size = win.agg(F.sum(F.octet_length("host") + F.octet_length("winner") + 64)).first()[0] or 0
+    out = parsed.join(F.broadcast(win) if size <= broadcast_bytes else win.hint("merge"), "host", "left")
     of = lambda path: F.filter("ranges", lambda r: r["path"] == path)
     out = out.withColumn("use", of(F.col("winner")))
     out = out.withColumn("use", F.when(F.size("use") > 0, F.col("use")).otherwise(of(F.col("own"))))
