@@ -205,13 +205,13 @@ def _key(fp: str, mask: list, words: int) -> Column:
 def route(codes: DataFrame, routes, limit: int = LEAF_LIMIT) -> list[DataFrame]:
     """Groups (members: array of (id, fp)) of 2 to ``limit`` distinct codes that share a pattern.
 
-    ``codes`` has id and fp. Larger groups are dealt again by the masks below theirs, level by
+    ``codes`` has id, fp and what else the members carry. Larger groups are dealt again by the masks below theirs, level by
     level; those whose masks have nothing below, or that are LEVELS down, are left whole."""
-    w = routes.words
+    w, cols = routes.words, codes.columns
     masks = routes.first()
     rows = codes.select(
-        "id", "fp", F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), _key("fp", _longs(m, w), w).alias("key")) for i, m in enumerate(masks)))).alias("r")
-    ).select("id", "fp", "r.mask", "r.key")
+        *cols, F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), _key("fp", _longs(m, w), w).alias("key")) for i, m in enumerate(masks)))).alias("r")
+    ).select(*cols, "r.mask", "r.key")
     out = []
     while True:
         sizes = rows.groupBy("mask", "key").count()
@@ -224,7 +224,7 @@ def route(codes: DataFrame, routes, limit: int = LEAF_LIMIT) -> list[DataFrame]:
         if below:
             hot = hot.where(F.col("mask").isin(*below))
             cold = rows.join(hot, ["mask", "key"], "left_anti")
-        groups = cold.groupBy("mask", "key").agg(F.collect_list(F.struct("id", "fp")).alias("members"))
+        groups = cold.groupBy("mask", "key").agg(F.collect_list(F.struct(*cols)).alias("members"))
         out.append(groups.where(F.size("members") > 1).select("members"))
         if not below:
             return out
@@ -236,11 +236,11 @@ def route(codes: DataFrame, routes, limit: int = LEAF_LIMIT) -> list[DataFrame]:
                 n += 1
         table = codes.sparkSession.createDataFrame(table, "mask int, child int, bits array<long>")
         again = rows.join(hot, ["mask", "key"], "left_semi").join(F.broadcast(table), "mask")  # a fixed number of masks
-        rows = durable(again.select("id", "fp", F.col("child").alias("mask"), _key("fp", [F.col("bits")[k] for k in range(w)], w).alias("key")), "again")
+        rows = durable(again.select(*cols, F.col("child").alias("mask"), _key("fp", [F.col("bits")[k] for k in range(w)], w).alias("key")), "again")
 
 
-def links(groups: DataFrame, radius: int, all_pairs: bool) -> DataFrame:
-    """(a, b) ids of near codes: a spanning star of each component within a group, or all pairs."""
+def links(groups: DataFrame, radius: int) -> DataFrame:
+    """(a, b) ids of near codes: a spanning star of each component within a group."""
 
     def run(batches):
         for batch in batches:
@@ -256,9 +256,8 @@ def links(groups: DataFrame, radius: int, all_pairs: bool) -> DataFrame:
                 codes = np.array([m["fp"] for m in flat], dtype=np.int64).view(np.uint64).reshape(n, -1)
                 group = np.repeat(np.arange(end - at), [len(g) for g in members[at:end]])
                 i, j = near_pairs(codes, group, radius)
-                if not all_pairs:
-                    i, j = (r := np.arange(n)), spanning(n, i, j)
-                    i, j = r[j != r], j[j != r]
+                i, j = (r := np.arange(n)), spanning(n, i, j)
+                i, j = r[j != r], j[j != r]
                 a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
                 rows.append(pd.DataFrame({"a": a, "b": b}).drop_duplicates())
                 at = end
@@ -267,9 +266,38 @@ def links(groups: DataFrame, radius: int, all_pairs: bool) -> DataFrame:
     return groups.mapInPandas(run, "a long, b long")
 
 
-def all_links(codes: DataFrame, routes, all_pairs: bool = False) -> DataFrame:
-    parts = [links(g, routes.radius, all_pairs) for g in route(codes, routes)]
-    return reduce(DataFrame.unionByName, parts).distinct()
+def all_links(codes: DataFrame, routes) -> DataFrame:
+    return reduce(DataFrame.unionByName, [links(g, routes.radius) for g in route(codes, routes)]).distinct()
+
+
+def candidates(codes: DataFrame, routes, each: str) -> DataFrame:
+    """(a, b), a < b: near codes with different roots (``codes`` has id, fp and root).
+
+    ``each`` says what is kept of them, by the fewest differing bits: "node": for every code its
+    nearest code of a smaller and of a larger id; "roots": the nearest pair of every two roots;
+    "pair": all. Each task keeps its own least pairs before those of all tasks meet."""
+    keys = {"node": ["k", "l"], "roots": ["k", "l"], "pair": ["a", "b"]}[each]
+
+    def run(batches):
+        for batch in batches:
+            for members in batch["members"].tolist():
+                ids, root = (np.array([m[c] for m in members], dtype=np.int64) for c in ("id", "root"))
+                code = np.array([m["fp"] for m in members], dtype=np.int64).view(np.uint64).reshape(len(members), -1)
+                i, j = near_pairs(code, np.zeros(len(members), np.int64), routes.radius)
+                i, j = (v[root[i] != root[j]] for v in (i, j))
+                if not len(i):
+                    continue
+                i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+                rows = pd.DataFrame({"a": ids[i], "b": ids[j], "d": np.bitwise_count(code[i] ^ code[j]).sum(1).astype(np.int32)})
+                if each == "node":  # the smaller code's nearest above, the larger one's nearest below
+                    rows = pd.concat([rows.assign(k=rows["a"], l=0), rows.assign(k=rows["b"], l=1)])
+                else:
+                    rows["k"], rows["l"] = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+                yield rows.sort_values(["d", "a", "b"]).drop_duplicates(keys)[["k", "l", "a", "b", "d"]]
+
+    parts = [g.mapInPandas(run, "k long, l long, a long, b long, d int") for g in route(codes, routes)]
+    least = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.min(F.struct("d", "a", "b")).alias("m"))
+    return least.select("m.a", "m.b").distinct()
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,25 +329,38 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> Da
     """Pipeline stage: one document of each group of near-duplicates stays, the one of the least id.
 
     Fingerprints of 256 bits over 5-word shingles propose pairs; the exact Jaccard similarity of the
-    shingle sets decides each of them. Columns of ``docs`` are kept; null ids come last."""
+    shingle sets decides each of them. As copies of one text are near each other, they are joined by
+    their nearest pairs first; then only pairs of different components are left: the nearest pair of
+    every two, and at last all that remain. No pair is skipped whose outcome could matter. Columns of ``docs`` are kept; null ids come last."""
     wide = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"), F.col("doc_id").cast("long").alias("doc_id"))
     rows = durable(with_fingerprints(wide, k=SHINGLE, words=WORDS).withColumn("uid", F.monotonically_increasing_id()), "wide")
     best = F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "uid"))
     heads = rows.groupBy("fp").agg(best.alias("b"))
     heads = durable(heads.select("fp", F.col("b.uid").alias("id"), F.col("b.col1").alias("o1"), F.col("b.col2").alias("o2")), "heads")
     routes = SampledRoutes(WORDS, wide_radius(SIMILARITY), 18, 40)
-    pairs = durable(all_links(heads.select("id", "fp"), routes, all_pairs=True), "pairs")
-    ids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    pairs = durable(candidates(heads.select("id", "fp", F.col("id").alias("root")), routes, "node"), "pairs")
+    # Every fingerprint that is near any other is in one of these pairs.
+    ids = durable(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct(), "near")
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: np.unique(np.array(shingle_hashes(t, SHINGLE), dtype=np.uint64)).view(np.int64))
 
     sets = durable(rows.select("uid", "text").join(ids, "uid", "left_semi").select("uid", shingles("text").alias("s")), "sets")
-    near = pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    near = near.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    root = components(near)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+    near = durable(similar(pairs), "similar")
+    root = durable(components(near), "roots")
+    active = durable(heads.join(ids.withColumnRenamed("uid", "id"), "id", "left_semi").select("id", "fp"), "active")
+    for each in ("roots", "pair"):
+        codes = active.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        more = durable(similar(candidates(codes, routes, each)), "similar")
+        near = near.unionByName(more)
+        root = durable(components(near), "roots")
     # The head of least id stays for each component; all other rows of its fingerprints go.
     h = heads.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     stay = h.groupBy("root").agg(F.min(F.struct("o1", "o2", "id")).alias("m")).select(F.col("m.id").alias("uid"))
