@@ -356,6 +356,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> Da
     near = durable(similar(pairs), "similar")
     root = durable(components(near), "roots")
     active = durable(heads.join(ids.withColumnRenamed("uid", "id"), "id", "left_semi").select("id", "fp"), "active")
+    # More and wider nets for the few that are left; they find 99 % of links at the limit itself.
+    routes = SampledRoutes(WORDS, routes.radius, 16, 64)
     for each in ("roots", "pair"):
         codes = active.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         more = durable(similar(candidates(codes, routes, each)), "similar")

@@ -138,7 +138,7 @@ def test_simhash_matches_brute_force(spark):
                 root[max(x, y)] = min(x, y)
     expected = {c: find_root(c) for c in codes}
     for limit in (simhash.LEAF_LIMIT, 10):  # the second deals the shared pattern again
-        parts = [simhash.links(g, 4, False) for g in simhash.route(df, simhash.CompleteRoutes(4), limit)]
+        parts = [simhash.links(g, 4) for g in simhash.route(df, simhash.CompleteRoutes(4), limit)]
         edges = parts[0]
         for p in parts[1:]:
             edges = edges.unionByName(p)
@@ -165,6 +165,28 @@ def test_stage_keeps_one_of_each_group(spark, odd):
     assert 1 in ids and 2 not in ids and 3 not in ids and None not in ids and ids.count(6) == 1
 
 
+def test_stage_matches_brute_force_on_near_copies(spark):
+    """A large group of near copies, among them pairs on both sides of the limit."""
+    rng = np.random.default_rng(3)
+    word = [f"w{i}" for i in range(4000)]
+    base = [word[i] for i in rng.integers(0, 4000, 300)]
+    texts = [" ".join(word[i] for i in rng.integers(0, 4000, 300)) for _ in range(20)]
+    for _ in range(120):
+        own = list(base)
+        for at in rng.integers(0, 300, rng.integers(0, 9)):
+            own[at] = "changed"
+        texts.append(" ".join(own))
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root] if root[i] != root[j] else root
+    least = {r: min(i for i, x in enumerate(root) if x == r) for r in set(root)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.dedup(spark, docs).collect()) == sorted(least.values())
+
+
 def test_packing(spark, sf):
     import public_tokenizers
     from tokenizers import Tokenizer
