@@ -114,25 +114,37 @@ def near_pairs(codes: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nd
         within = np.arange(len(g)) - np.repeat(first, np.diff(np.r_[first, len(g)]))
         cut = np.flatnonzero(within % FAN == 0)
         levels.append((np.bitwise_and.reduceat(both, cut), np.bitwise_or.reduceat(either, cut), np.r_[cut, len(g)], g[cut]))
+    words = range(codes.shape[1])
+    leaf = [np.ascontiguousarray(code[:, w]) for w in words]
+    inner = [[(np.ascontiguousarray(both[:, w]), np.ascontiguousarray(~(both ^ either)[:, w])) for w in words] for both, either, _, _ in levels[1:]]
+
+    def near(depth: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The node pairs that may hold near codes: differences add up word by word."""
+        total = np.zeros(len(x), np.int16)
+        for w in words:
+            if depth:
+                bits, shared = inner[depth - 1][w]
+                total += np.bitwise_count((bits[x] ^ bits[y]) & shared[x] & shared[y])
+            else:
+                total += np.bitwise_count(leaf[w][x] ^ leaf[w][y])
+            keep = total <= radius
+            x, y, total = x[keep], y[keep], total[keep]
+        return x, y
+
     a = b = np.arange(len(levels[-1][3]))
-    for depth in range(len(levels) - 1, -1, -1):
-        both, either, bound, _ = levels[depth]
-        found, step = [], 200_000
+    for depth in range(len(levels) - 1, 0, -1):
+        bound, found, step = levels[depth][2], [], 20_000
         for lo in range(0, len(a), step):
             x, y = a[lo : lo + step], b[lo : lo + step]
-            shared = ~(both[x] ^ either[x]) & ~(both[y] ^ either[y])
-            x, y = (v[np.bitwise_count((both[x] ^ both[y]) & shared).sum(1) <= radius] for v in (x, y))
-            if depth:  # all children of both nodes
-                nx, ny = bound[x + 1] - bound[x], bound[y + 1] - bound[y]
-                of = np.repeat(np.arange(len(x)), nx * ny)
-                at = np.arange(len(of)) - np.repeat(np.cumsum(nx * ny) - nx * ny, nx * ny)
-                cx, cy = bound[x][of] + at // ny[of], bound[y][of] + at % ny[of]
-                keep = cx <= cy
-                found.append((cx[keep], cy[keep]))
-            else:
-                keep = x < y
-                found.append((x[keep], y[keep]))
+            nx, ny = bound[x + 1] - bound[x], bound[y + 1] - bound[y]  # all children of both nodes
+            of = np.repeat(np.arange(len(x)), nx * ny)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(nx * ny) - nx * ny, nx * ny)
+            cx, cy = bound[x][of] + at // ny[of], bound[y][of] + at % ny[of]
+            keep = cx <= cy if depth > 1 else cx < cy
+            found.append(near(depth - 1, cx[keep], cy[keep]))
         a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, int) for i in (0, 1))
+    if len(levels) == 1:
+        a = b = a[:0]
     return order[a], order[b]
 
 
@@ -274,23 +286,30 @@ def candidates(codes: DataFrame, routes, each: str) -> DataFrame:
     """(a, b), a < b: near codes with different roots (``codes`` has id, fp and root).
 
     ``each`` says what is kept of them, by the fewest differing bits: "node": for every code its
-    nearest code of a smaller and of a larger id; "roots": the nearest pair of every two roots;
-    "pair": all. Each task keeps its own least pairs before those of all tasks meet."""
+    nearest code and its nearest of a smaller id; "roots": the nearest pair of every two roots; "pair": all. Each
+    task keeps its own least pairs before those of all tasks meet."""
     keys = {"node": ["k", "l"], "roots": ["k", "l"], "pair": ["a", "b"]}[each]
 
     def run(batches):
         for batch in batches:
-            for members in batch["members"].tolist():
-                ids, root = (np.array([m[c] for m in members], dtype=np.int64) for c in ("id", "root"))
-                code = np.array([m["fp"] for m in members], dtype=np.int64).view(np.uint64).reshape(len(members), -1)
-                i, j = near_pairs(code, np.zeros(len(members), np.int64), routes.radius)
+            at, members = 0, batch["members"].tolist()
+            while at < len(members):
+                end, n = at, 0
+                while end < len(members) and (end == at or n + len(members[end]) <= 20_000):
+                    n += len(members[end])
+                    end += 1
+                flat = [m for g in members[at:end] for m in g]
+                ids, root = (np.array([m[c] for m in flat], dtype=np.int64) for c in ("id", "root"))
+                code = np.array([m["fp"] for m in flat], dtype=np.int64).view(np.uint64).reshape(n, -1)
+                i, j = near_pairs(code, np.repeat(np.arange(end - at), [len(g) for g in members[at:end]]), routes.radius)
+                at = end
                 i, j = (v[root[i] != root[j]] for v in (i, j))
                 if not len(i):
                     continue
                 i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
                 rows = pd.DataFrame({"a": ids[i], "b": ids[j], "d": np.bitwise_count(code[i] ^ code[j]).sum(1).astype(np.int32)})
-                if each == "node":  # the smaller code's nearest above, the larger one's nearest below
-                    rows = pd.concat([rows.assign(k=rows["a"], l=0), rows.assign(k=rows["b"], l=1)])
+                if each == "node":
+                    rows = pd.concat([rows.assign(k=rows["b"], l=0), rows.assign(k=rows["a"], l=1), rows.assign(k=rows["b"], l=1)])
                 else:
                     rows["k"], rows["l"] = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
                 yield rows.sort_values(["d", "a", "b"]).drop_duplicates(keys)[["k", "l", "a", "b", "d"]]
@@ -331,20 +350,22 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> Da
     Fingerprints of 256 bits over 5-word shingles propose pairs; the exact Jaccard similarity of the
     shingle sets decides each of them. As copies of one text are near each other, they are joined by
     their nearest pairs first; then only pairs of different components are left: the nearest pair of
-    every two, and at last all that remain. No pair is skipped whose outcome could matter. Columns of ``docs`` are kept; null ids come last."""
+    every two, and at last all pairs of roots whose nearest pair was not similar. No pair is skipped whose
+    outcome could matter. Columns of ``docs`` are kept; null ids come last."""
     wide = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"), F.col("doc_id").cast("long").alias("doc_id"))
     rows = durable(with_fingerprints(wide, k=SHINGLE, words=WORDS).withColumn("uid", F.monotonically_increasing_id()), "wide")
     best = F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "uid"))
     heads = rows.groupBy("fp").agg(best.alias("b"))
     heads = durable(heads.select("fp", F.col("b.uid").alias("id"), F.col("b.col1").alias("o1"), F.col("b.col2").alias("o2")), "heads")
-    routes = SampledRoutes(WORDS, wide_radius(SIMILARITY), 18, 40)
+    routes = SampledRoutes(WORDS, wide_radius(SIMILARITY), 12, 24)
     pairs = durable(candidates(heads.select("id", "fp", F.col("id").alias("root")), routes, "node"), "pairs")
     # Every fingerprint that is near any other is in one of these pairs.
     ids = durable(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct(), "near")
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<int>")
     def shingles(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: np.unique(np.array(shingle_hashes(t, SHINGLE), dtype=np.uint64)).view(np.int64))
+        # Half of each hash: two different shingles of a pair of 20,000-word texts share it with a chance of 1 in 10.
+        return texts.map(lambda t: np.unique(np.array(shingle_hashes(t, SHINGLE), dtype=np.uint64).astype(np.uint32)).view(np.int32))
 
     sets = durable(rows.select("uid", "text").join(ids, "uid", "left_semi").select("uid", shingles("text").alias("s")), "sets")
 
@@ -356,13 +377,18 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> Da
     near = durable(similar(pairs), "similar")
     root = durable(components(near), "roots")
     active = durable(heads.join(ids.withColumnRenamed("uid", "id"), "id", "left_semi").select("id", "fp"), "active")
-    # More and wider nets for the few that are left; they find 99 % of links at the limit itself.
-    routes = SampledRoutes(WORDS, routes.radius, 16, 64)
+    # Wider nets for the codes with near copies; they find 99 % of links at the limit itself.
+    routes = SampledRoutes(WORDS, routes.radius, 10, 24)
     for each in ("roots", "pair"):
-        codes = active.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        more = durable(similar(candidates(codes, routes, each)), "similar")
+        codes = durable(active.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "codes")
+        found = durable(candidates(codes, routes, each), "pairs")
+        more = durable(similar(found), "similar")
         near = near.unionByName(more)
         root = durable(components(near), "roots")
+        # Roots that are joined have nothing more to find; only those of pairs that were not similar have.
+        end = found.join(more, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("id"))
+        open_roots = codes.join(end, "id", "left_semi").select("root").distinct()
+        active = codes.join(open_roots, "root", "left_semi").select("id", "fp")
     # The head of least id stays for each component; all other rows of its fingerprints go.
     h = heads.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     stay = h.groupBy("root").agg(F.min(F.struct("o1", "o2", "id")).alias("m")).select(F.col("m.id").alias("uid"))
