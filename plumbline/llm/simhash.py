@@ -282,12 +282,14 @@ def all_links(codes: DataFrame, routes) -> DataFrame:
     return reduce(DataFrame.unionByName, [links(g, routes.radius) for g in route(codes, routes)]).distinct()
 
 
-def candidates(codes: DataFrame, routes, each: str) -> DataFrame:
+def candidates(codes: DataFrame, routes, each: str, within: int | None = None) -> DataFrame:
     """(a, b), a < b: near codes with different roots (``codes`` has id, fp and root).
 
     ``each`` says what is kept of them, by the fewest differing bits: "node": for every code its
     nearest code and its nearest of a smaller id; "roots": the nearest pair of every two roots; "pair": all. Each
-    task keeps its own least pairs before those of all tasks meet."""
+    task keeps its own least pairs before those of all tasks meet. Where ``codes`` also has ``w``,
+    longer fingerprints, those decide instead within the groups, up to ``within`` differing bits."""
+    col = "w" if "w" in codes.columns else "fp"
     keys = {"node": ["k", "l"], "roots": ["k", "l"], "pair": ["a", "b"]}[each]
 
     def run(batches):
@@ -304,10 +306,16 @@ def candidates(codes: DataFrame, routes, each: str) -> DataFrame:
                 i, j = near_pairs(code, np.repeat(np.arange(end - at), [len(g) for g in members[at:end]]), routes.radius)
                 at = end
                 i, j = (v[root[i] != root[j]] for v in (i, j))
+                code = np.array([m[col] for m in flat], dtype=np.int64).view(np.uint64).reshape(n, -1)
+                d = np.zeros(len(i), np.int32)
+                for w in range(code.shape[1]):
+                    d += np.bitwise_count(code[i, w] ^ code[j, w])
+                if within is not None:
+                    i, j, d = (v[d <= within] for v in (i, j, d))
                 if not len(i):
                     continue
                 i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
-                rows = pd.DataFrame({"a": ids[i], "b": ids[j], "d": np.bitwise_count(code[i] ^ code[j]).sum(1).astype(np.int32)})
+                rows = pd.DataFrame({"a": ids[i], "b": ids[j], "d": d})
                 if each == "node":
                     rows = pd.concat([rows.assign(k=rows["b"], l=0), rows.assign(k=rows["a"], l=1), rows.assign(k=rows["b"], l=1)])
                 else:
@@ -334,7 +342,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Near-duplicates on shingles: five words, similarity 0.8 or more.
-SHINGLE, SIMILARITY, WORDS = 5, 0.8, 4
+SHINGLE, SIMILARITY, WORDS, LONG = 5, 0.8, 4, 16
 
 
 def wide_radius(similarity: float, words: int = WORDS, sigmas: float = 2.5) -> int:
@@ -350,7 +358,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> Da
     Fingerprints of 256 bits over 5-word shingles propose pairs; the exact Jaccard similarity of the
     shingle sets decides each of them. As copies of one text are near each other, they are joined by
     their nearest pairs first; then only pairs of different components are left: the nearest pair of
-    every two, and at last all pairs of roots whose nearest pair was not similar. No pair is skipped whose
+    every two by longer fingerprints of 1024 bits, and at last all pairs of roots whose nearest pair was not similar. No pair is skipped whose
     outcome could matter. Columns of ``docs`` are kept; null ids come last."""
     wide = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"), F.col("doc_id").cast("long").alias("doc_id"))
     rows = durable(with_fingerprints(wide, k=SHINGLE, words=WORDS).withColumn("uid", F.monotonically_increasing_id()), "wide")
@@ -367,28 +375,38 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> Da
         # Half of each hash: two different shingles of a pair of 20,000-word texts share it with a chance of 1 in 10.
         return texts.map(lambda t: np.unique(np.array(shingle_hashes(t, SHINGLE), dtype=np.uint64).astype(np.uint32)).view(np.int32))
 
-    sets = durable(rows.select("uid", "text").join(ids, "uid", "left_semi").select("uid", shingles("text").alias("s")), "sets")
+    @F.pandas_udf("array<long>")
+    def long_code(sets: pd.Series) -> pd.Series:
+        out: list[np.ndarray] = []
+        for lo in range(0, len(sets), 256):
+            part = [np.asarray(x, dtype=np.int32).view(np.uint32).tolist() for x in sets.iloc[lo : lo + 256]]
+            out += list(fingerprints_of(part, LONG + 1)[:, 1:].copy().view(np.int64))  # the first word would be the bare hashes
+        return pd.Series(out)
+
+    sets = rows.select("uid", "text").join(ids, "uid", "left_semi").select("uid", shingles("text").alias("s"))
+    sets = durable(sets.withColumn("w", long_code("s")), "sets")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b")
+        right = sets.select(F.col("uid").alias("b"), F.col("s").alias("sb")).join(pairs.select("b").distinct(), "b", "left_semi")  # moves only what is needed
+        both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a").join(right, "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
     near = durable(similar(pairs), "similar")
     root = durable(components(near), "roots")
-    active = durable(heads.join(ids.withColumnRenamed("uid", "id"), "id", "left_semi").select("id", "fp"), "active")
+    active = durable(heads.join(ids.withColumnRenamed("uid", "id"), "id", "left_semi").join(sets.select(F.col("uid").alias("id"), "w"), "id").select("id", "fp", "w"), "active")
     # Wider nets for the codes with near copies; they find 99 % of links at the limit itself.
     routes = SampledRoutes(WORDS, routes.radius, 10, 24)
     for each in ("roots", "pair"):
         codes = durable(active.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "codes")
-        found = durable(candidates(codes, routes, each), "pairs")
+        found = durable(candidates(codes, routes, each, wide_radius(SIMILARITY, LONG, 3)), "pairs")
         more = durable(similar(found), "similar")
         near = near.unionByName(more)
         root = durable(components(near), "roots")
         # Roots that are joined have nothing more to find; only those of pairs that were not similar have.
         end = found.join(more, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("id"))
         open_roots = codes.join(end, "id", "left_semi").select("root").distinct()
-        active = codes.join(open_roots, "root", "left_semi").select("id", "fp")
+        active = codes.join(open_roots, "root", "left_semi").select("id", "fp", "w")
     # The head of least id stays for each component; all other rows of its fingerprints go.
     h = heads.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     stay = h.groupBy("root").agg(F.min(F.struct("o1", "o2", "id")).alias("m")).select(F.col("m.id").alias("uid"))
