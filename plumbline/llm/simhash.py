@@ -237,7 +237,7 @@ def route(codes: DataFrame, routes, limit: int = LEAF_LIMIT) -> list[DataFrame]:
             hot = hot.where(F.col("mask").isin(*below))
             cold = rows.join(hot, ["mask", "key"], "left_anti")
         groups = cold.groupBy("mask", "key").agg(F.collect_list(F.struct(*cols)).alias("members"))
-        out.append(groups.where(F.size("members") > 1).select("members"))
+        out.append(groups.where(F.size("members") > 1).select("mask", "members"))
         if not below:
             return out
         masks = [m for i in sorted(below) for m in below[i]]
@@ -291,10 +291,13 @@ def candidates(codes: DataFrame, routes, each: str, within: int | None = None) -
     longer fingerprints, those decide instead within the groups, up to ``within`` differing bits."""
     col = "w" if "w" in codes.columns else "fp"
     keys = {"node": ["k", "l"], "roots": ["k", "l"], "pair": ["a", "b"]}[each]
+    groups = route(codes, routes)
+    # Where no group was dealt again, every pair meets under each mask on which it agrees: the first of them gives it.
+    masks = np.array([_longs(m, routes.words) for m in routes.first()], dtype=np.int64).view(np.uint64) if len(groups) == 1 else None
 
     def run(batches):
         for batch in batches:
-            at, members = 0, batch["members"].tolist()
+            at, members, under = 0, batch["members"].tolist(), batch["mask"].to_numpy()
             while at < len(members):
                 end, n = at, 0
                 while end < len(members) and (end == at or n + len(members[end]) <= 20_000):
@@ -303,7 +306,16 @@ def candidates(codes: DataFrame, routes, each: str, within: int | None = None) -
                 flat = [m for g in members[at:end] for m in g]
                 ids, root = (np.array([m[c] for m in flat], dtype=np.int64) for c in ("id", "root"))
                 code = np.array([m["fp"] for m in flat], dtype=np.int64).view(np.uint64).reshape(n, -1)
-                i, j = near_pairs(code, np.repeat(np.arange(end - at), [len(g) for g in members[at:end]]), routes.radius)
+                group = np.repeat(np.arange(end - at), [len(g) for g in members[at:end]])
+                i, j = near_pairs(code, group, routes.radius)
+                if masks is not None:
+                    new, own = np.ones(len(i), bool), under[at:end][group[i]]
+                    for k, mask in enumerate(masks[: own.max(initial=0)]):
+                        again = own > k
+                        for w in range(len(mask)):
+                            again &= ((code[i, w] ^ code[j, w]) & mask[w]) == 0
+                        new &= ~again
+                    i, j = i[new], j[new]
                 at = end
                 i, j = (v[root[i] != root[j]] for v in (i, j))
                 code = np.array([m[col] for m in flat], dtype=np.int64).view(np.uint64).reshape(n, -1)
