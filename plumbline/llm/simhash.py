@@ -97,6 +97,24 @@ def with_fingerprints(df: DataFrame, text: str = "text", k: int = 4, words: int
     return df.withColumn("fp", fp(text))
 
 
+def with_set_fingerprints(df: DataFrame, text: str = "text", k: int = 5, words: int = 4) -> DataFrame:
+    """Adds ``fp``, an array of ``words`` longs over the distinct shingles, and ``digest``, a hash of their set."""
+
+    @F.pandas_udf("fp array<long>, digest long")
+    def code(texts: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        fp: list[np.ndarray] = []
+        digest: list[int] = []
+        for lo in range(0, len(texts), 256):
+            part = [sorted(set(shingle_hashes(t if isinstance(t, str) else None, k))) for t in texts.iloc[lo : lo + 256]]
+            fp += list(fingerprints_of(part, words).view(np.int64))
+            digest += [xxhash.xxh64_intdigest(np.array(s, dtype=np.uint64).tobytes(), 42) for s in part]
+        return pd.DataFrame({"fp": pd.Series(fp, dtype=object), "digest": np.array(digest, dtype=np.uint64).view(np.int64)})
+
+    return df.withColumn("code", code(text)).select(*df.columns, "code.fp", "code.digest")
+
+
 def gray_rank(code: np.ndarray) -> np.ndarray:
     for s in (1, 2, 4, 8, 16, 32):
         code = code ^ (code >> np.uint64(s))
@@ -104,7 +122,7 @@ def gray_rank(code: np.ndarray) -> np.ndarray:
 
 
 def near_pairs(codes: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of ``codes`` (n, words) in one group that differ in 1 to ``radius`` bits."""
+    """Pairs (i, j) of rows of ``codes`` (n, words) in one group that differ in ``radius`` bits at most."""
     order = np.lexsort((*(gray_rank(codes[:, w]) for w in reversed(range(codes.shape[1]))), group))
     code, own = codes[order], group[order]
     levels = [(code, code, np.arange(len(code) + 1), own)]  # and-fold, or-fold, child bounds, group
@@ -367,19 +385,19 @@ def wide_radius(similarity: float, words: int = WORDS, sigmas: float = 2.5) -> i
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """Pipeline stage: one document of each group of near-duplicates stays, the one of the least id.
 
-    Fingerprints of 256 bits over 5-word shingles propose pairs; the exact Jaccard similarity of the
-    shingle sets decides each of them. As copies of one text are near each other, they are joined by
+    Fingerprints of 256 bits over the distinct 5-word shingles propose pairs of different shingle sets; the
+    exact Jaccard similarity of the sets decides each of them, of equal fingerprints too. As copies of one text are near each other, they are joined by
     their nearest pairs first; then only pairs of different components are left: the nearest pair of
     every two by longer fingerprints of 1024 bits, and at last all pairs of roots whose nearest pair was not similar. No pair is skipped whose
     outcome could matter. Columns of ``docs`` are kept; null ids come last."""
     wide = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    rows = durable(with_fingerprints(wide, k=SHINGLE, words=WORDS).withColumn("uid", F.monotonically_increasing_id()), "wide")
+    rows = durable(with_set_fingerprints(wide, k=SHINGLE, words=WORDS).withColumn("uid", F.monotonically_increasing_id()), "wide")
     best = F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "uid"))
-    heads = rows.groupBy("fp").agg(best.alias("b"))
+    heads = rows.groupBy("fp", "digest").agg(best.alias("b"))
     heads = durable(heads.select("fp", F.col("b.uid").alias("id"), F.col("b.col1").alias("o1"), F.col("b.col2").alias("o2")), "heads")
     routes = SampledRoutes(WORDS, wide_radius(SIMILARITY), 12, 24)
     pairs = durable(candidates(heads.select("id", "fp", F.col("id").alias("root")), routes, "node"), "pairs")
-    # Every fingerprint that is near any other is in one of these pairs.
+    # Every set whose fingerprint is near any other is in one of these pairs.
     ids = durable(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct(), "near")
 
     @F.pandas_udf("array<int>")
@@ -419,7 +437,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> Da
         end = found.join(more, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("id"))
         open_roots = codes.join(end, "id", "left_semi").select("root").distinct()
         active = codes.join(open_roots, "root", "left_semi").select("id", "fp", "w")
-    # The head of least id stays for each component; all other rows of its fingerprints go.
+    # The head of least id stays for each component; all other rows of its sets go.
     h = heads.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     stay = h.groupBy("root").agg(F.min(F.struct("o1", "o2", "id")).alias("m")).select(F.col("m.id").alias("uid"))
     return rows.select("uid", "doc").join(stay, "uid", "left_semi").select("doc.*")

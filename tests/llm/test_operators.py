@@ -187,6 +187,24 @@ def test_stage_matches_brute_force_on_near_copies(spark):
     assert sorted(r.doc_id for r in simhash.dedup(spark, docs).collect()) == sorted(least.values())
 
 
+def test_stage_compares_sets_of_shingles(spark):
+    """Copies that differ in how often a line stands are found; equal counts of few words do not merge sets."""
+    rng = np.random.default_rng(5)
+    word = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(12):
+        base = [word[i] for i in rng.integers(0, 4000, 300)]
+        line = base[100:114]
+        texts += [" ".join(base), " ".join(base[:114] + line * 10 + base[114:])]
+    loud = " ".join(["loud"] * 400)
+    texts += [loud + " " + " ".join(word[i] for i in rng.integers(0, 4000, 60)) for _ in range(2)]
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    stay = [i for i, a in enumerate(sets) if not any(len(a & b) >= 0.8 * len(a | b) for b in sets[:i])]
+    assert stay == [*range(0, 24, 2), 24, 25]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.dedup(spark, docs).collect()) == stay
+
+
 def test_packing(spark, sf):
     import public_tokenizers
     from tokenizers import Tokenizer
