@@ -3,11 +3,15 @@
 Main path in native expressions only. The histograms of character classes and of common words of
 each document are compared with a reference of each language, which is the sum over all documents
 of that language. A document is judged by its nearest language; texts below the minimum lengths
-are not judged by divergence, as their histograms are mostly noise.
+are not judged by divergence, as their histograms are mostly noise. As most words of any text are
+not common ones, the bound of the word histogram is taken from each reference: its distance from
+itself with only a tenth of its common words left, which is under one word in 50.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,13 @@ def _js(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
 
 
+def word_bound(ref: list[float], least: float) -> float:
+    """Distance of a word reference from itself with ``least`` of its common words, the rest being other words."""
+    few = [least * x for x in ref[:-1]]
+    few.append(1 - sum(few))
+    return math.sqrt(sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(few, ref, strict=True)) / 2)
+
+
 def _share(counts: Column) -> Column:
     total = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
     return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1.0)))
@@ -71,19 +82,21 @@ def references(counts: DataFrame, lang: str = "lang", languages: tuple[str, ...]
 
 
 def judge(
-    counts: DataFrame, refs: dict, *, max_class: float = 0.25, max_word: float = 0.5, min_chars: int = 300, min_words: int = 50
+    counts: DataFrame, refs: dict, *, max_class: float = 0.25, least_common: float = 0.1, min_chars: int = 300, min_words: int = 50
 ) -> DataFrame:
     """Adds ``n_words``, the base counts, ``base_failed``, ``js_class``, ``js_word``, ``kept``."""
     lits = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
-    nearest = lambda h, k: F.least(*([_js(F.col(h), lits(r[k])) for r in refs.values()] + [F.lit(1.0)] * 2))
+    each = lambda h, k: F.array(*(_js(F.col(h), lits(r[k])) for r in refs.values()), F.lit(1.0))
+    bounds = lits([*(word_bound(r[1], least_common) for r in refs.values()), 0])  # the 1.0 that stands for no reference is never near
     df = counts.withColumns({"h_class": _share(F.col("h_class")), "h_word": _share(F.col("h_word"))})
-    df = df.withColumns({"js_class": nearest("h_class", 0), "js_word": nearest("h_word", 1)})
+    df = df.withColumns({"js_class": F.array_min(each("h_class", 0)), "js_words": each("h_word", 1)})
+    df = df.withColumns({"js_word": F.array_min("js_words"), "far": F.forall(F.zip_with("js_words", bounds, lambda d, b: d > b), lambda x: x)})
     n, r = F.col("st_n_words"), F.col("st_n_repeat_words")
     df = df.withColumn("base_failed", (n < 50) | (100 * r.cast("long") > 50 * n.cast("long")))
-    odd = ((F.col("st_n_chars") >= min_chars) & (F.col("js_class") > max_class)) | ((n >= min_words) & (F.col("js_word") > max_word))
+    odd = ((F.col("st_n_chars") >= min_chars) & (F.col("js_class") > max_class)) | ((n >= min_words) & F.col("far"))
     if not refs:
         odd = F.lit(False)
-    return df.withColumn("kept", ~F.col("base_failed") & ~odd)
+    return df.withColumn("kept", ~F.col("base_failed") & ~odd).drop("js_words", "far")
 
 
 _SLIM = ("st_n_words", "st_n_chars", "st_space", "st_symbol", "st_n_dup_lines", "st_n_repeat_words", "h_class", "h_word")

@@ -78,6 +78,18 @@ def test_js_distance(spark):
     assert row.same == 0 and row.far == pytest.approx(1)
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    rng = np.random.default_rng(2)
+    word = [f"{a}{b}n{c}" for a in "bdfgk" for b in "aeiou" for c in "aeiou"]
+    prose = lambda: " ".join(w for i in range(60) for w in (rng.choice(word), str(rng.choice(["the", "of", "and", "to", "in", "is"])) if i % 4 == 0 else rng.choice(word)))
+    junk = [" ".join(rng.permutation(word)[:120]), " | ".join(rng.permutation(word)[:120])]
+    docs = spark.createDataFrame([*((i, prose(), "en") for i in range(40)), *((100 + i, t, "en") for i, t in enumerate(junk))], "doc_id long, text string, lang string")
+    counts = quality_rules.quality_counts(docs)
+    got = {r.doc_id: r for r in quality_rules.judge(counts, quality_rules.references(counts), max_class=1.0).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i, r in sorted(got.items()) if not r.kept] == [100, 101]
+
+
 def test_classifier_holds_out(spark, sf):
     got = QUERIES["op1_quality_classifier"](spark, sf.replace("sf0.001", "sf0.01")).join(spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (got.predicted == got.quality).mean() > 0.9
