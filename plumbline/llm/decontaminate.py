@@ -1,9 +1,15 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark passages are cut into overlapping windows. A window of m bytes that occurs in a text with
-at most k edits shares at least m - q + 1 - k * q of its q-grams with it, and all of them lie on
-2k + 1 neighbouring diagonals. Shared q-grams are counted in overlapping diagonal bands that hold
-any such run of diagonals; bands that meet the bound are verified by banded alignment.
+Benchmark passages are indexed whole and searched by windows of WINDOW bytes that start every STEP
+bytes. A window of m bytes that occurs in a text with at most k edits shares at least
+m - q + 1 - k * q of its q-grams with it, and all of them lie on neighbouring diagonals. Shared
+q-grams are counted in overlapping diagonal bands of the passage; windows that meet the bound for
+k = m * RATE are verified by alignment within m * BUDGET edits. A replaced word of n letters costs
+up to n edits but only n + q - 1 q-grams, so the bound also lets through two of them in any window.
+
+So found for sure are all places of a window with at most RATE edits anywhere, or with one or
+two words replaced within BUDGET; and every part of a passage of WINDOW + STEP - 1 bytes or more,
+as it holds a whole window.
 """
 
 from __future__ import annotations
@@ -18,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .license_scan import _CLEAN
 
-Q, WINDOW, STEP, RATE, LEAST = 10, 120, 60, 0.05, 32
+WINDOW, STEP, RATE, BUDGET, LEAST = 80, 20, 0.05, 0.05, 32
+#: q of passages of SHORT bytes or more, and of shorter ones, whose bound needs shorter q-grams.
+Q, SHORT_Q, SHORT = 10, 10, 64
 #: Bytes of benchmark text whose index is broadcast at once; more come in further blocks.
 BLOCK = 4_000_000
 
@@ -28,15 +36,17 @@ def normal(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_CLEAN).split())
 
 
-def grams(data: bytes, q: int = Q) -> np.ndarray:
+def grams(data: bytes, q: int) -> np.ndarray:
     """A 64-bit hash of the q bytes from each place on."""
     if len(data) < q:
         return np.zeros(0, np.uint64)
-    b = np.frombuffer(data, np.uint8)
+    b = np.frombuffer(data + bytes(max(0, 8 - q)), np.uint8)
     n = len(b) - 7
     eight = np.lib.stride_tricks.as_strided(b, (n, 8), (1, 1)) if n > 0 else np.zeros((0, 8), np.uint8)
     code = np.ascontiguousarray(eight).view(np.uint64)[:, 0]
-    m = len(b) - q + 1
+    m = len(data) - q + 1
+    if q < 8:
+        code, q = code & np.uint64(256**q - 1), 8
     with np.errstate(over="ignore"):
         h = code[:m] * np.uint64(0x9E3779B97F4A7C15) ^ code[q - 8 : q - 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F)
         return h ^ (h >> np.uint64(29))
@@ -53,11 +63,13 @@ def align(item: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
     t = np.frombuffer(text, np.uint8)
     n = len(t)
     cost, start, steps = np.zeros(n + 1, np.int64), np.arange(n + 1), np.arange(n + 1)
+    diag, left = np.full(n + 1, 2**40), np.zeros(n + 1, np.int64)
     for i, c in enumerate(item, 1):
         down = cost + 1
-        diag = np.r_[np.int64(2**40), cost[:-1] + (t != c)]
+        diag[1:] = cost[:-1] + (t != c)
         best = np.minimum(down, diag)
-        own = np.where(diag <= down, np.r_[0, start[:-1]], start)
+        left[1:] = start[:-1]
+        own = np.where(diag <= down, left, start)
         best[0] = i
         own[0] = 0
         run = np.minimum.accumulate(best - steps)  # insertions along the text
@@ -69,37 +81,33 @@ def align(item: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
     return (int(cost[e]), int(start[e]), e) if cost[e] <= k else None
 
 
-class Index:
-    """q-gram index of the windows of benchmark passages."""
-
-    def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        self.windows: list[tuple[int, bytes, int, int, int]] = []
-        code, win, place = [], [], []
-        for item, data in items:
-            n = len(data)
-            starts = [0] if n <= WINDOW else [*range(0, n - WINDOW, STEP), n - WINDOW]
-            for s in starts:
-                w = data[s : s + WINDOW]
-                k = int(len(w) * RATE)
-                need = max(1, len(w) - Q + 1 - k * Q)
-                g = grams(w)
-                code.append(g)
-                win.append(np.full(len(g), len(self.windows)))
-                place.append(np.arange(len(g)))
-                self.windows.append((item, w, k, need, 2 * k + 1))
-        code, self.win, self.place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((code, np.uint64), (win, np.int64), (place, np.int64)))
+class _Grams:
+    """q-gram index of whole passages for one q, and the windows of each."""
+
+    def __init__(self, items: list[tuple[int, bytes]], q: int) -> None:
+        self.items, self.q = items, q
+        self.windows: list[tuple[np.ndarray, int, int, int]] = []
+        code, own, place = [], [], []
+        for i, (_, data) in enumerate(items):
+            size = min(len(data), WINDOW)
+            starts = np.array([*range(0, len(data) - size, STEP), len(data) - size])
+            self.windows.append((starts, size, int(size * BUDGET), max(1, size - q + 1 - int(size * RATE) * q)))
+            g = grams(data, q)
+            code.append(g)
+            own.append(np.full(len(g), i))
+            place.append(np.arange(len(g)))
+        code, self.own, self.place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((code, np.uint64), (own, np.int64), (place, np.int64)))
         order = np.argsort(code, kind="stable")
-        code, self.win, self.place = code[order], self.win[order], self.place[order]
+        code, self.own, self.place = code[order], self.own[order], self.place[order]
         self.code, self.first = np.unique(code, return_index=True)
         self.last = np.r_[self.first[1:], len(code)]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[code >> np.uint64(42)] = True
         self.need = np.array([w[3] for w in self.windows], np.int64)
-        self.band = np.array([w[4] for w in self.windows], np.int64)
+        self.band = np.array([2 * w[2] + 1 for w in self.windows], np.int64)
 
     def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        """(item, begin, end, edits) of every verified window of a normalised text."""
-        g = grams(text)
+        g = grams(text, self.q)
         at = np.flatnonzero(self.bits[g >> np.uint64(42)]) if len(self.code) else np.zeros(0, int)
         if not len(at):
             return []
@@ -108,25 +116,43 @@ class Index:
         at, slot = at[ok], slot[ok]
         n = self.last[slot] - self.first[slot]
         entry = np.repeat(self.first[slot] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        win, diag = self.win[entry], np.repeat(at, n) - self.place[entry]
-        out = []
-        band = diag // self.band[win]
+        own, place = self.own[entry], self.place[entry]
+        band = (np.repeat(at, n) - place) // self.band[own]
         # Overlapping bands: each is two widths wide and starts a width after the one before.
-        key = np.concatenate([np.stack([win, band - s, self.place[entry], diag], 1) for s in (0, 1)])
-        key = key[np.lexsort((key[:, 2], key[:, 1], key[:, 0]))]
-        if not len(key):
+        own, place, band = np.r_[own, own], np.r_[place, place], np.r_[band, band - 1]
+        order = np.lexsort((place, band, own))
+        own, place, band = own[order], place[order], band[order]
+        if not len(own):
             return []
-        edge = np.r_[True, (key[1:, :2] != key[:-1, :2]).any(1)]
-        fresh = edge | np.r_[True, key[1:, 2] != key[:-1, 2]]  # each q-gram of a window counts once
+        edge = np.r_[True, (own[1:] != own[:-1]) | (band[1:] != band[:-1])]
+        fresh = edge | np.r_[True, place[1:] != place[:-1]]  # each q-gram of a passage counts once
+        own, place, band, edge = own[fresh], place[fresh], band[fresh], edge[fresh]
         first = np.flatnonzero(edge)
-        count = np.add.reduceat(fresh.astype(np.int64), first)
-        for f in first[count >= self.need[key[first, 0]]]:
-            item, w, k, _, width = self.windows[key[f, 0]]
-            lo = max(0, int(key[f, 1]) * width - k)
-            hi = (int(key[f, 1]) + 2) * width + len(w) + k
-            if found := align(w, text[lo:hi], k):
-                out.append((item, lo + found[1], lo + found[2], found[0]))
-        return sorted(set(out))
+        end = np.r_[first[1:], len(own)]
+        enough = end - first >= self.need[own[first]]
+        out = []
+        for f, e in zip(first[enough], end[enough], strict=True):
+            starts, size, k, need = self.windows[own[f]]
+            item, data = self.items[own[f]]
+            count = np.searchsorted(place[f:e], starts + size - self.q + 1) - np.searchsorted(place[f:e], starts)
+            base, width = int(band[f]) * int(self.band[own[f]]), int(self.band[own[f]])
+            for s in starts[count >= need].tolist():
+                lo, hi = max(0, base + s - k), base + 2 * width + s + size + k
+                if found := align(data[s : s + size], text[lo:hi], k):
+                    out.append((item, lo + found[1], lo + found[2], found[0]))
+        return out
+
+
+class Index:
+    """q-gram index of benchmark passages, with shorter q-grams for short passages."""
+
+    def __init__(self, items: list[tuple[int, bytes]]) -> None:
+        short, rest = [x for x in items if len(x[1]) < SHORT], [x for x in items if len(x[1]) >= SHORT]
+        self.parts = [_Grams(x, q) for x, q in ((rest, Q), (short, SHORT_Q)) if x]
+
+    def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
+        """(item, begin, end, edits) of every verified window of a normalised text."""
+        return sorted({f for p in self.parts for f in p.search(text)})
 
 
 def blocks_of(benchmark: DataFrame, limit: int = BLOCK):

@@ -267,6 +267,17 @@ def test_decontamination():
     assert not idx.search(normal(" ".join(reversed(item.split()))))
 
 
+def test_decontamination_finds_parts():
+    """Every part of 99 bytes (WINDOW + STEP - 1) or more of a passage holds a whole window."""
+    rng = random.Random(8)
+    item = normal(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(60)))[:300]
+    idx = Index([(1, item)])
+    for size in (99, 150):
+        for at in range(0, 301 - size):
+            assert idx.search(b"qq " * 20 + item[at : at + size] + b" zz" * 20), (size, at)
+    assert any(f[3] == 0 for f in idx.search(b"qq " * 20 + item[10:160] + b" zz" * 20))
+
+
 def test_decontamination_blocks(spark, odd):
     docs, bench = spark.read.parquet(f"{odd}/documents.parquet"), spark.read.parquet(f"{odd}/benchmark.parquet")
     got = find(docs.select("doc_id", "text"), bench).collect()
