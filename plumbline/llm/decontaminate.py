@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .license_scan import _CLEAN
 
-WINDOW, STEP, RATE, BUDGET, LEAST = 80, 20, 0.05, 0.05, 32
+WINDOW, STEP, RATE, BUDGET, LEAST = 80, 20, 0.1, 0.2, 32
 #: q of passages of SHORT bytes or more, and of shorter ones, whose bound needs shorter q-grams.
-Q, SHORT_Q, SHORT = 10, 10, 64
+Q, SHORT_Q, SHORT = 8, 6, 64
 #: Bytes of benchmark text whose index is broadcast at once; more come in further blocks.
 BLOCK = 4_000_000
 

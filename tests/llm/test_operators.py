@@ -278,6 +278,19 @@ def test_decontamination_finds_parts():
     assert any(f[3] == 0 for f in idx.search(b"qq " * 20 + item[10:160] + b" zz" * 20))
 
 
+def test_decontamination_finds_replaced_words():
+    """One word of a short passage, two of 80 bytes, and two in every window of a long one."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    for n_words, replaced in ((5, (2,)), (6, (3,)), (12, (3, 8)), (40, range(3, 40, 6))):
+        for _ in range(20):
+            ws = [word(6) for _ in range(n_words)]
+            idx = Index([(1, normal(" ".join(ws)))])
+            near = [word(6) if i in replaced else w for i, w in enumerate(ws)]
+            assert idx.search(normal("some words before " + " ".join(near) + " and some after")), (n_words, ws, near)
+            assert not idx.search(normal(" ".join(word(6) for _ in range(200))))
+
+
 def test_decontamination_blocks(spark, odd):
     docs, bench = spark.read.parquet(f"{odd}/documents.parquet"), spark.read.parquet(f"{odd}/benchmark.parquet")
     got = find(docs.select("doc_id", "text"), bench).collect()
