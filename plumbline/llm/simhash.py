@@ -5,7 +5,8 @@ pattern) pairs, and all fingerprints that share one meet. Below such a node its
 sorted by Gray rank and grouped level by level; each inner node keeps the mask of the bits that all
 its fingerprints share and their pattern. Two nodes whose common masked bits already differ in more
 bits than the radius are pruned with all that is below them, and the differences of the remaining
-leaves are counted in full. Groups over ``LEAF_LIMIT`` go one level further down, by more bits.
+leaves are counted in full. Groups over ``LEAF_LIMIT`` go one level further down, by more bits, where
+the masks of that level are complete; else their blocks are compared two by two.
 
 For the 64-bit query the masks are complete: 64 bits in 6 blocks, and two fingerprints within 4 bits
 agree in two blocks at least; splits use 5 parts of the bits left, one of which agrees.
@@ -204,7 +205,9 @@ class CompleteRoutes:
 
 
 class SampledRoutes:
-    """Masks of bits drawn (by a fixed seed) from wide fingerprints, for large radii."""
+    """Masks of bits drawn (by a fixed seed) from wide fingerprints, for large radii.
+
+    They have no masks below, as more sampled bits would lose pairs: large groups are cut into blocks."""
 
     def __init__(self, words: int, radius: int, bits: int, tables: int) -> None:
         self.words, self.radius, self.bits, self.tables = words, radius, bits, tables
@@ -213,13 +216,6 @@ class SampledRoutes:
         rng = np.random.default_rng(42)
         return [tuple(sorted(map(int, rng.choice(64 * self.words, self.bits, replace=False)))) for _ in range(self.tables)]
 
-    def below(self, mask: tuple[int, ...]) -> list[tuple[int, ...]]:
-        free = [b for b in range(64 * self.words) if b not in set(mask)]
-        if len(free) < 16:
-            return []
-        rng = np.random.default_rng([7, *mask])
-        return [tuple(sorted((*mask, *map(int, rng.choice(free, 8, replace=False))))) for _ in range(8)]
-
 
 def _longs(mask: tuple[int, ...], words: int) -> list[int]:
     out = [0] * words
@@ -235,7 +231,10 @@ def _key(fp: str, mask: list, words: int) -> Column:
 def route(codes: DataFrame, routes, limit: int = LEAF_LIMIT) -> list[DataFrame]:
     """Groups (members: array of (id, fp)) of 2 to ``limit`` distinct codes that share a pattern.
 
-    ``codes`` has id, fp and what else the members carry. Larger groups are dealt again by the masks below theirs, level by
+    Larger groups of routes without masks below are cut into blocks by a hash of the id, of about half of ``limit``; every
+    block is a group and so are every two, where ``across`` says that only pairs of different ``part`` are new.
+
+    ``codes`` has id, fp and what else the members carry. Other larger groups are dealt again by the masks below theirs, level by
     level; those whose masks have nothing below, or that are LEVELS down, are left whole."""
     w, cols = routes.words, codes.columns
     masks = routes.first()
@@ -243,6 +242,17 @@ def route(codes: DataFrame, routes, limit: int = LEAF_LIMIT) -> list[DataFrame]:
         *cols, F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), _key("fp", _longs(m, w), w).alias("key")) for i, m in enumerate(masks)))).alias("r")
     ).select(*cols, "r.mask", "r.key")
     out = []
+    if not hasattr(routes, "below"):
+        hot = rows.groupBy("mask", "key").count().where(F.col("count") > limit)
+        hot = durable(hot.select("mask", "key", F.ceil(2 * F.col("count") / limit).cast("int").alias("n")), "hot")
+        big = rows.join(hot, ["mask", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), "n").cast("int"))
+        big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        big = big.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
+        cold = rows.join(hot, ["mask", "key"], "left_anti").withColumns({c: F.lit(0) for c in ("part", "x", "y")})
+        keys = ["mask", "key", "x", "y"]
+        both = cold.select(*cols, "part", *keys).unionByName(big.select(*cols, "part", *keys))
+        groups = both.groupBy(*keys).agg(F.collect_list(F.struct(*cols, "part")).alias("members"))
+        return [groups.where(F.size("members") > 1).select("mask", (F.col("x") < F.col("y")).alias("across"), "members")]
     while True:
         sizes = rows.groupBy("mask", "key").count()
         hot = durable(sizes.where(F.col("count") > limit).select("mask", "key"), "hot")
@@ -300,7 +310,7 @@ def all_links(codes: DataFrame, routes) -> DataFrame:
     return reduce(DataFrame.unionByName, [links(g, routes.radius) for g in route(codes, routes)]).distinct()
 
 
-def candidates(codes: DataFrame, routes, each: str, within: int | None = None) -> DataFrame:
+def candidates(codes: DataFrame, routes, each: str, within: int | None = None, limit: int = LEAF_LIMIT) -> DataFrame:
     """(a, b), a < b: near codes with different roots (``codes`` has id, fp and root).
 
     ``each`` says what is kept of them, by the fewest differing bits: "node": for every code its
@@ -309,13 +319,13 @@ def candidates(codes: DataFrame, routes, each: str, within: int | None = None) -
     longer fingerprints, those decide instead within the groups, up to ``within`` differing bits."""
     col = "w" if "w" in codes.columns else "fp"
     keys = {"node": ["k", "l"], "roots": ["k", "l"], "pair": ["a", "b"]}[each]
-    groups = route(codes, routes)
-    # Where no group was dealt again, every pair meets under each mask on which it agrees: the first of them gives it.
-    masks = np.array([_longs(m, routes.words) for m in routes.first()], dtype=np.int64).view(np.uint64) if len(groups) == 1 else None
+    groups = route(codes, routes, limit)[0]
+    # Every pair meets under each mask on which it agrees: the first of them gives it.
+    masks = np.array([_longs(m, routes.words) for m in routes.first()], dtype=np.int64).view(np.uint64)
 
     def run(batches):
         for batch in batches:
-            at, members, under = 0, batch["members"].tolist(), batch["mask"].to_numpy()
+            at, members, under, across = 0, batch["members"].tolist(), batch["mask"].to_numpy(), batch["across"].to_numpy()
             while at < len(members):
                 end, n = at, 0
                 while end < len(members) and (end == at or n + len(members[end]) <= 20_000):
@@ -326,14 +336,14 @@ def candidates(codes: DataFrame, routes, each: str, within: int | None = None) -
                 code = np.array([m["fp"] for m in flat], dtype=np.int64).view(np.uint64).reshape(n, -1)
                 group = np.repeat(np.arange(end - at), [len(g) for g in members[at:end]])
                 i, j = near_pairs(code, group, routes.radius)
-                if masks is not None:
-                    new, own = np.ones(len(i), bool), under[at:end][group[i]]
-                    for k, mask in enumerate(masks[: own.max(initial=0)]):
-                        again = own > k
-                        for w in range(len(mask)):
-                            again &= ((code[i, w] ^ code[j, w]) & mask[w]) == 0
-                        new &= ~again
-                    i, j = i[new], j[new]
+                part = np.array([m["part"] for m in flat])
+                new, own = ~across[at:end][group[i]] | (part[i] != part[j]), under[at:end][group[i]]
+                for k, mask in enumerate(masks[: own.max(initial=0)]):
+                    again = own > k
+                    for w in range(len(mask)):
+                        again &= ((code[i, w] ^ code[j, w]) & mask[w]) == 0
+                    new &= ~again
+                i, j = i[new], j[new]
                 at = end
                 i, j = (v[root[i] != root[j]] for v in (i, j))
                 code = np.array([m[col] for m in flat], dtype=np.int64).view(np.uint64).reshape(n, -1)
@@ -352,8 +362,7 @@ def candidates(codes: DataFrame, routes, each: str, within: int | None = None) -
                     rows["k"], rows["l"] = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
                 yield rows.sort_values(["d", "a", "b"]).drop_duplicates(keys)[["k", "l", "a", "b", "d"]]
 
-    parts = [g.mapInPandas(run, "k long, l long, a long, b long, d int") for g in route(codes, routes)]
-    least = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.min(F.struct("d", "a", "b")).alias("m"))
+    least = groups.mapInPandas(run, "k long, l long, a long, b long, d int").groupBy(*keys).agg(F.min(F.struct("d", "a", "b")).alias("m"))
     return least.select("m.a", "m.b").distinct()
 
 

@@ -199,6 +199,23 @@ def test_stage_matches_brute_force_on_near_copies(spark):
     assert sorted(r.doc_id for r in simhash.dedup(spark, docs).collect()) == sorted(least.values())
 
 
+def test_large_groups_of_sampled_masks_lose_no_pair(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2, 256)
+    bits = np.array([base ^ (rng.random(256) < 0.09) for _ in range(150)])
+    codes = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    df = spark.createDataFrame([(i, c.tolist(), i) for i, c in enumerate(codes)], "id long, fp array<long>, root long")
+    routes = simhash.SampledRoutes(4, 54, 10, 3)
+    agree = np.zeros((150, 150), bool)
+    for m in routes.first():
+        agree |= (bits[:, None, list(m)] == bits[None][:, :, list(m)]).all(2)
+    agree &= (bits[:, None] != bits[None]).sum(2) <= 54
+    expected = {(i, j) for i, j in zip(*np.nonzero(agree), strict=True) if i < j}
+    for limit in (10, simhash.LEAF_LIMIT):
+        got = [tuple(r) for r in simhash.candidates(df, routes, "pair", limit=limit).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_stage_compares_sets_of_shingles(spark):
     """Copies that differ in how often a line stands are found; equal counts of few words do not merge sets."""
     rng = np.random.default_rng(5)
