@@ -42,17 +42,26 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def durable(df: DataFrame, what: str) -> DataFrame:
+def durable(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
     It cuts lineage like ``checkpoint()``, but columnar and compressed; a lost executor costs
-    only the tasks that were running. The files go when the driver ends.
-    """
+    only the tasks that were running. With ``by`` the files lie in a folder for each of its values, which
+    a filter on it prunes. The files go with ``release`` or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     atexit.register(delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*stored: DataFrame) -> None:
+    """Deletes tables made by ``durable`` that nothing will read again."""
+    for df in stored:
+        delete(df.sparkSession, df.stored_at)
 
 
 def id_hash(col: str | Column = "doc_id") -> Column:

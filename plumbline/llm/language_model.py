@@ -1,33 +1,44 @@
 """LM scoring: a gated recurrent language model in numpy with a class-factored output.
 
-Counts of all training tokens are gathered from the whole corpus. The most frequent tokens form a
-short list; all other tokens fall into tail classes. A token's probability is that of its class times
-that within its class: a softmax over the members for short-list classes, smoothed corpus counts for
-tail classes (unknown tokens share the smoothing mass). Weights are fitted by truncated
-backpropagation: a warm start on a bounded sample, then one pass over every training document in
-parallel, whose weights are averaged. Scoring carries the state across windows, so a document's
-score is that of its whole text.
+One pass over the corpus turns every text into ids of its block's own dictionary; the dictionaries are
+joined with the counts of all training tokens, and texts become arrays of symbols. The most frequent
+tokens form a short list; all other tokens are symbols of one of ``KINDS`` kinds (by ending), which
+are grouped into tail classes. A token's probability is that of its class times that within its
+class: a softmax over the members for short-list classes, smoothed corpus counts for tail classes
+(unknown tokens share the smoothing mass). Classes come from the company that symbols keep in all
+training documents.
+
+Weights are fitted by truncated backpropagation over all training documents, each with its state
+carried from its first token to its last. Training goes in rounds, each of which starts from the
+averaged weights of the one before and uses twice its blocks, so the number of rounds grows with the
+corpus. Scoring carries the state too, so a document's score is that of its whole text.
+
+The gates are of the form (1 + s) / 2 with s = x / (1 + abs(x)), the candidate state is s itself.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import Counter, defaultdict
-from itertools import groupby
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, durable, id_hash, table
+from .common import LOWER, durable, id_hash, release, table
 
 END = b""
-SHORT, CLASSES, GROUP, HIDDEN, EMBED, WINDOW, STREAM = 1000, 16, 32, 24, 16, 16, 512
-#: Tokens of the warm start's sample, at most.
-WARM_TOKENS = 400_000
-#: Bytes of text that a block holds; blocks are what tasks load at once.
-BLOCK_BYTES = 8_000_000
+SHORT, COMPANIES, GROUP, CLASSES, KINDS, COMMON = 1000, 8, 96, 16, 2048, 48
+HIDDEN, EMBED, WINDOW, STREAMS = 16, 12, 16, 256
+#: Bytes of text whose dictionary is made at once; a block is what a task holds.
+BLOCK_BYTES = 24_000_000
+#: Bytes of symbols (two a token) that are trained on or scored at once.
+TRAIN_BYTES, SCORE_BYTES = 5_000_000, 3_000_000
+#: Passes over the block of the first round, which starts from counts alone, and the steps of Adam.
+FIRST_PASSES, FIRST_RATE, RATE = 3, 0.01, 0.003
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -36,29 +47,38 @@ def tokens(text: str | None) -> list[bytes]:
     return ws
 
 
-def signature(token: bytes) -> bytes:
-    """Shape and ending of a token: what decides its class if it is not in the short list."""
-    core = token.rstrip(b".,;:!?*#$%&|")
-    tail = token[len(core) :][-1:]
-    return core[-2:] + b"\0" + tail
+def kind(token: Column) -> Column:
+    """A token's kind: a hash of the last two characters of its word and of the sign after it."""
+    s = token.cast("string")
+    core = F.rtrim(s, F.lit(".,;:!?*#$%&|"))
+    sign = F.when(F.length(core) < F.length(s), F.right(s, F.lit(1))).otherwise("")
+    return F.pmod(F.crc32(F.concat(F.right(core, F.lit(2)), F.lit("\n"), sign).cast("binary")), F.lit(KINDS)).cast("int")
+
+
+def squash(x: np.ndarray) -> np.ndarray:
+    """x / (1 + abs(x)), in place."""
+    d = np.abs(x)
+    d += 1
+    x /= d
+    return x
 
 
 class Model:
-    """Vocabulary, classes and weights; pickled to the executors (some 200 KB)."""
+    """Classes and weights; pickled to the executors (some 300 KB).
+
+    Symbols are places in the short list, or ``n_short`` + tail class."""
 
-    def __init__(self, short: list[bytes], short_class: np.ndarray, tail_class: dict[bytes, int]) -> None:
-        self.short, self.tail_class = short, tail_class
-        self.index = {t: i for i, t in enumerate(short)}
-        self.n_short = len(short)
+    def __init__(self, short_class: np.ndarray, end: int) -> None:
+        self.n_short, self.end = len(short_class), end
         order = np.argsort(short_class, kind="stable")
         self.n_group = int(short_class.max()) + 1
         self.groups = [order[short_class[order] == c] for c in range(self.n_group)]
-        self.group_of = short_class
-        self.slot = np.zeros(self.n_short, np.int64)
+        slot = np.zeros(self.n_short, np.int64)
         for g in self.groups:
-            self.slot[g] = np.arange(len(g))
+            slot[g] = np.arange(len(g))
+        self.slot = slot
         self.n_class = self.n_group + CLASSES
-        self.default = int.from_bytes(b"tail", "big") % CLASSES
+        self.class_of = np.r_[short_class, self.n_group + np.arange(CLASSES)].astype(np.int16)
         rng = np.random.default_rng(0)
         f = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
         h = HIDDEN
@@ -66,175 +86,178 @@ class Model:
             "E": f(self.n_short + CLASSES, EMBED), "Wx": f(EMBED, 3 * h), "bx": np.zeros(3 * h, np.float32), "U": f(h, 3 * h),
             "Wc": f(h, self.n_class), "bc": np.zeros(self.n_class, np.float32), "Ws": f(self.n_short, h), "bs": np.zeros(self.n_short, np.float32),
         }
-        self.tail_total = np.ones(CLASSES)
-
-    def ids(self, ws: list[bytes]) -> np.ndarray:
-        """Short-list place, or ``n_short`` + tail class."""
-        index, tail, n, d = self.index, self.tail_class, self.n_short, self.default
-        return np.array([i if (i := index.get(w)) is not None else n + tail.get(signature(w), d) for w in ws], dtype=np.int32)
-
-    def classes(self, ids: np.ndarray) -> np.ndarray:
-        short = ids < self.n_short
-        return np.where(short, self.group_of[np.where(short, ids, 0)], self.n_group + ids - self.n_short)
 
-    def states(self, ids: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The states before and after each of the inputs ``ids`` (steps, streams)."""
-        p, k = self.p, HIDDEN
-        gx = (p["E"] @ p["Wx"] + p["bx"])[ids]
-        out = np.empty((*ids.shape, k), np.float32)
-        for t in range(len(ids)):
-            gh = h @ p["U"]
-            rz = 1 / (1 + np.exp(-(gx[t, :, : 2 * k] + gh[:, : 2 * k])))
-            r, z = rz[:, :k], rz[:, k:]
-            n = np.tanh(gx[t, :, 2 * k :] + r * gh[:, 2 * k :])
+    def prime(self, counts: np.ndarray) -> None:
+        """Biases from the counts of all symbols."""
+        by_class = np.bincount(self.class_of, weights=counts, minlength=self.n_class)
+        self.p["bc"] += np.log(by_class + 1.0).astype(np.float32) - np.float32(np.log(counts.sum() + 1.0))
+        for g in self.groups:
+            self.p["bs"][g] += (np.log(counts[g] + 1.0) - np.log(counts[g].sum() + 1.0)).astype(np.float32)
+
+    def lay(self, docs: list[np.ndarray], streams: int) -> tuple[np.ndarray, ...]:
+        """Inputs, targets and first-token marks step by step, the number of streams active at each step,
+        and the place of each token of the documents in ``order``, whose lengths come last.
+
+        Documents follow one another in at most ``streams`` streams, the longest first to the stream
+        that is least full; streams stand by length, so that those still active come first."""
+        loads = [(0, s) for s in range(min(streams, len(docs)))]
+        own: list[list[int]] = [[] for _ in loads]
+        for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+            n, s = loads[0]
+            own[s].append(i)
+            heapq.heapreplace(loads, (n + len(docs[i]), s))
+        size = np.zeros(len(own), np.int64)
+        for n, s in loads:
+            size[s] = n
+        rank = np.argsort(-size, kind="stable")
+        order = [i for s in rank for i in own[s]]
+        length = np.array([len(docs[i]) for i in order])
+        y = np.concatenate([docs[i] for i in order]).astype(np.int32)
+        first = np.zeros(len(y), bool)
+        first[np.cumsum(length) - length] = True
+        x = np.r_[np.int32(self.end), y[:-1]]
+        x[first] = self.end
+        size = size[rank]
+        step = np.arange(len(y)) - np.repeat(np.cumsum(size) - size, size)
+        active = np.bincount(step)
+        to = (np.cumsum(active) - active)[step] + np.repeat(np.arange(len(size)), size)
+        out = [np.empty(len(y), np.int32), np.empty(len(y), np.int32), np.empty(len(y), bool)]
+        for a, v in zip(out, (x, y, first), strict=True):
+            a[to] = v
+        return (*out, active, to, np.array(order), length)
+
+    def run(self, x: np.ndarray, first: np.ndarray, active: np.ndarray, h: np.ndarray, gates: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States after each input of consecutive steps, and the last one."""
+        k, u = HIDDEN, self.p["U"]
+        gx = np.take(gates, x, axis=0)
+        out = np.empty((len(x), k), np.float32)
+        if keep is not None:
+            keep.update({n: np.empty((len(x), k), np.float32) for n in "bc"}, g=np.empty((len(x), 3 * k), np.float32), s=np.empty((len(x), 2 * k), np.float32))
+        at = 0
+        for n in active:
+            end = at + n
+            h = h[:n]
+            if (new := np.flatnonzero(first[at:end])).size:
+                h = h.copy()
+                h[new] = 0
+            g = np.matmul(h, u, out=None if keep is None else keep["g"][at:end])
+            s = squash(gx[at:end, : 2 * k] + g[:, : 2 * k])
+            rz = (s + 1) * np.float32(0.5)
+            c = squash(gx[at:end, 2 * k :] + rz[:, :k] * g[:, 2 * k :])
             if keep is not None:
-                keep.append((h, r, z, n, gh[:, 2 * k :]))
-            h = n + z * (h - n)
-            out[t] = h
+                keep["b"][at:end], keep["c"][at:end], keep["s"][at:end] = h, c, s
+            h = np.add(c, rz[:, k:] * (h - c), out=out[at:end])
+            at = end
         return out, h
 
     def log_probs(self, hs: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of P(class) and of the softmax within short-list classes, for flat targets."""
         p = self.p
-        cls = self.classes(ids)
-        z = hs @ p["Wc"] + p["bc"]
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        s = e.sum(1)
-        at = np.arange(len(ids))
-        lp = z[at, cls] - np.log(s)
-        dh = None
-        if grads is not None:
-            d = e / s[:, None]
-            d[at, cls] -= 1
-            grads["Wc"], grads["bc"], dh = hs.T @ d, d.sum(0), d @ p["Wc"].T
-            grads["Ws"], grads["bs"] = np.zeros_like(p["Ws"]), np.zeros_like(p["bs"])
+        cls = self.class_of[ids]
+        lp, dh = self._softmax(hs, p["Wc"], p["bc"], cls, grads, "Wc", "bc")
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(self.n_group + 1))
+        lo, hi = bounds[0], bounds[-1]
+        x, slot, part = hs[order[lo:hi]], self.slot[ids[order[lo:hi]]], np.zeros(hi - lo, np.float32)
+        d = np.zeros_like(x)
+        if grads is not None:
+            grads["Ws"], grads["bs"] = np.zeros_like(p["Ws"]), np.zeros_like(p["bs"])
         for c, g in enumerate(self.groups):
-            own = order[bounds[c] : bounds[c + 1]]
-            if not len(own) or len(g) < 2:
+            a, b = bounds[c] - lo, bounds[c + 1] - lo
+            if a == b or len(g) < 2:
                 continue
-            x = hs[own]
-            z = x @ p["Ws"][g].T + p["bs"][g]
-            z -= z.max(1, keepdims=True)
-            e = np.exp(z)
-            s = e.sum(1)
-            k = self.slot[ids[own]]
-            at = np.arange(len(own))
-            lp[own] += z[at, k] - np.log(s)
-            if grads is not None:
-                d = e / s[:, None]
-                d[at, k] -= 1
-                grads["Ws"][g], grads["bs"][g] = d.T @ x, d.sum(0)
-                dh[own] += d @ p["Ws"][g]
+            own: dict | None = None if grads is None else {}
+            part[a:b], dx = self._softmax(x[a:b], np.ascontiguousarray(p["Ws"][g].T), p["bs"][g], slot[a:b], own, "W", "b")
+            if own is not None:
+                grads["Ws"][g], grads["bs"][g], d[a:b] = own["W"].T, own["b"], dx
+        lp[order[lo:hi]] += part
+        if dh is not None:
+            dh[order[lo:hi]] += d
         return lp, dh
 
-    def train(self, docs: list[np.ndarray], rate: float, streams: int = STREAM) -> None:
-        """One pass by Adam. Texts are cut into segments so that the streams of a batch are alike in
-        length; within one the state is carried from window to window, gradients are not."""
+    @staticmethod
+    def _softmax(x, w, b, target, grads, wn, bn):
+        z = x @ w
+        z += b
+        if np.abs(w).sum(0).max(initial=0) + np.abs(b).max(initial=0) > 60:  # states are below 1, so this bounds z
+            z -= z.max(1, keepdims=True)
+        at = np.arange(len(x))
+        lp = z[at, target]
+        e = np.exp(z, out=z)
+        s = e @ np.ones(e.shape[1], np.float32)
+        lp -= np.log(s)
+        if grads is None:
+            return lp, None
+        e *= (1 / s)[:, None]
+        e[at, target] -= 1
+        grads[wn], grads[bn] = x.T @ e, np.ones(len(x), np.float32) @ e
+        return lp, e @ w.T
+
+    def train(self, docs: list[np.ndarray], rate: float) -> None:
+        """One pass by Adam; the state is carried over whole documents, gradients over WINDOW steps."""
         p, k = self.p, HIDDEN
-        start = np.int32(self.index[END])
-        parts = []
-        for d in docs:
-            x = np.r_[start, d[:-1]]
-            parts += [(x[i : i + 512], d[i : i + 512]) for i in range(0, len(d), 512)]
-        parts.sort(key=lambda s: -len(s[1]))
+        total = sum(map(len, docs))
+        x, y, first, active, *_ = self.lay(docs, max(32, min(STREAMS, total // 8192)))
+        off = np.r_[0, np.cumsum(active)]
         m1 = {n: np.zeros_like(w) for n, w in p.items()}
         m2 = {n: np.zeros_like(w) for n, w in p.items()}
-        step = 0
-        batches = [parts[i : i + streams] for i in range(0, len(parts), streams)]
-        for b in np.random.default_rng(1).permutation(len(batches)):
-            part = batches[b]
-            size = np.array([len(s[1]) for s in part])
-            h = np.zeros((len(part), k), np.float32)
-            for lo in range(0, int(size[0]), WINDOW):
-                n = int((size > lo).sum())
-                w = min(WINDOW, int(size[0]) - lo)
-                x, y, on = (np.zeros((w, n), np.int32) for _ in range(3))
-                for j in range(n):
-                    a, t = part[j][0][lo : lo + w], part[j][1][lo : lo + w]
-                    x[: len(a), j], y[: len(t), j], on[: len(t), j] = a, t, 1
-                keep: list = []
-                h0 = h[:n]
-                hs, h = self.states(x, h0, keep)
-                real = np.flatnonzero(on.ravel())
-                g: dict = {}
-                _, d = self.log_probs(hs.reshape(-1, k)[real], y.ravel()[real], g)
-                dh_all = np.zeros((w * n, k), np.float32)
-                dh_all[real] = d
-                dh_all = dh_all.reshape(w, n, k)
-                before, r, z, c, ghn = (np.stack(q) for q in zip(*keep, strict=True))
-                to_c, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), ghn * r * (1 - r)
-                dgh, ut = np.empty((w, n, 3 * k), np.float32), np.ascontiguousarray(p["U"].T)
-                dcs = np.empty((w, n, k), np.float32)
-                back = np.zeros((n, k), np.float32)
-                for t in range(w - 1, -1, -1):
-                    dh = dh_all[t] + back
-                    dc = np.multiply(dh, to_c[t], out=dcs[t])
-                    np.multiply(dc, to_r[t], out=dgh[t, :, :k])
-                    np.multiply(dh, to_z[t], out=dgh[t, :, k : 2 * k])
-                    np.multiply(dc, r[t], out=dgh[t, :, 2 * k :])
-                    back = dh * z[t] + dgh[t] @ ut
-                g["U"] = before.reshape(-1, k).T @ dgh.reshape(-1, 3 * k)
-                dgx = dgh
-                dgx[:, :, 2 * k :] = dcs
-                dG = np.zeros((len(p["E"]), 3 * k), np.float32)
-                flat, ids = dgx.reshape(-1, 3 * k), x.ravel()
-                order = np.argsort(ids, kind="stable")
-                first = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
-                dG[ids[order][first]] = np.add.reduceat(flat[order], first, axis=0)
-                g["E"], g["Wx"], g["bx"] = dG @ p["Wx"].T, p["E"].T @ dG, flat.sum(0)
-                step += 1
-                scale = 1 / len(real)
-                for name, dw in g.items():
-                    dw = np.clip(dw * scale, -1, 1)
-                    m1[name] += 0.1 * (dw - m1[name])
-                    m2[name] += 0.01 * (dw * dw - m2[name])
-                    p[name] -= rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + 1e-6)
-
-    def score(self, docs: list[np.ndarray], streams: int = 4096, flush: int = 40_000) -> np.ndarray:
-        """Natural log probability of each document without the share of its tail tokens' counts.
-
-        The documents of a batch are packed step by step, longest first, so a step's active streams
-        are a slice; outputs are evaluated for many steps at once."""
-        p, k = self.p, HIDDEN
-        out = np.zeros(len(docs))
-        table = p["E"] @ p["Wx"] + p["bx"]
-        start = np.int32(self.index[END])
-        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        for lo in range(0, len(order), streams):
-            own = order[lo : lo + streams]
-            size = np.array([len(docs[i]) for i in own])
-            y = np.concatenate([docs[i] for i in own])
-            first = np.cumsum(size) - size
-            x = np.r_[start, y[:-1]]
-            x[first] = start
-            step = np.arange(len(y), dtype=np.int32) - np.repeat(first, size).astype(np.int32)
-            packed = np.argsort(step, kind="stable")
-            x, y, stream = x[packed], y[packed], np.repeat(np.arange(len(own)), size)[packed]
-            active = np.bincount(step)
-            h = np.zeros((len(own), k), np.float32)
-            hs, done, at = np.empty((min(len(y), flush + len(own)), k), np.float32), 0, 0
-            for n in active:
-                h = h[:n]
-                gx, gh = table[x[at : at + n]], h @ p["U"]
-                rz = gx[:, : 2 * k] + gh[:, : 2 * k]
-                np.negative(rz, rz)
-                np.exp(rz, rz)
-                rz += 1
-                np.reciprocal(rz, rz)
-                c = gh[:, 2 * k :]
-                c *= rz[:, :k]
-                c += gx[:, 2 * k :]
-                np.tanh(c, c)
-                h = c + rz[:, k:] * (h - c)
-                hs[at - done : at - done + n] = h
-                at += n
-                if at - done >= flush or at == len(y):
-                    lp, _ = self.log_probs(hs[: at - done], y[done:at])
-                    np.add.at(out, np.asarray(own)[stream[done:at]], lp.astype(np.float64))
-                    done = at
+        h = np.zeros((active[0], k), np.float32)
+        column = np.arange(EMBED)
+        for step, lo in enumerate(range(0, len(active), WINDOW), 1):
+            hi = min(len(active), lo + WINDOW)
+            a, b = off[lo], off[hi]
+            xs, new, keep, g = x[a:b], first[a:b], {}, {}
+            hs, h = self.run(xs, new, active[lo:hi], h, p["E"] @ p["Wx"] + p["bx"], keep)
+            _, dh_all = self.log_probs(hs, y[a:b], g)
+            before, c, s, ghn = keep["b"], keep["c"], keep["s"], keep["g"][:, 2 * k :]
+            slope = np.float32(0.5) * (1 - np.abs(s)) ** 2
+            rz = (s + 1) * np.float32(0.5)
+            to_c, to_z, to_r = (1 - rz[:, k:]) * (1 - np.abs(c)) ** 2, (before - c) * slope[:, k:], ghn * slope[:, :k]
+            r, z, ut = rz[:, :k], rz[:, k:], np.ascontiguousarray(p["U"].T)
+            dgh, dcs = np.empty((b - a, 3 * k), np.float32), np.empty((b - a, k), np.float32)
+            back = np.zeros((0, k), np.float32)
+            for t in range(hi - 1, lo - 1, -1):
+                i, j = off[t] - a, off[t + 1] - a
+                dh = dh_all[i:j]
+                dh[: len(back)] += back
+                dc = np.multiply(dh, to_c[i:j], out=dcs[i:j])
+                np.multiply(dc, to_r[i:j], out=dgh[i:j, :k])
+                np.multiply(dh, to_z[i:j], out=dgh[i:j, k : 2 * k])
+                np.multiply(dc, r[i:j], out=dgh[i:j, 2 * k :])
+                back = dgh[i:j] @ ut
+                back += dh * z[i:j]
+                if (at := np.flatnonzero(new[i:j])).size:
+                    back[at] = 0
+            g["U"] = before.T @ dgh
+            dgx = dgh
+            dgx[:, 2 * k :] = dcs
+            dx = dgx @ p["Wx"].T
+            g["E"] = np.bincount((xs[:, None] * EMBED + column).ravel(), weights=dx.ravel(), minlength=p["E"].size).reshape(p["E"].shape).astype(np.float32)
+            g["Wx"], g["bx"] = np.take(p["E"], xs, axis=0).T @ dgx, np.ones(len(xs), np.float32) @ dgx
+            scale = np.float32(1 / len(xs))
+            for name, dw in g.items():
+                dw = np.clip(dw * scale, -1, 1)
+                m1[name] += 0.1 * (dw - m1[name])
+                m2[name] += 0.01 * (dw * dw - m2[name])
+                p[name] -= rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + 1e-6)
+
+    def score(self, docs: list[np.ndarray], streams: int = 1024, flush: int = 20_000) -> np.ndarray:
+        """Natural log probability of each document without the share of its tail tokens' counts."""
+        if not docs:
+            return np.zeros(0)
+        x, y, first, active, place, order, length = self.lay(docs, streams)
+        gates, got = self.p["E"] @ self.p["Wx"] + self.p["bx"], np.empty(len(y), np.float32)
+        off = np.r_[0, np.cumsum(active)]
+        h, lo = np.zeros((active[0], HIDDEN), np.float32), 0
+        while lo < len(active):
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + flush, "right")) - 1)
+            a, b = off[lo], off[hi]
+            hs, h = self.run(x[a:b], first[a:b], active[lo:hi], h, gates)
+            got[a:b], _ = self.log_probs(hs, y[a:b])
+            lo = hi
+        sums = np.add.reduceat(got[place].astype(np.float64), np.cumsum(length) - length)
+        out = np.empty(len(docs))
+        out[order] = sums
         return out
 
 
@@ -250,158 +273,212 @@ def cluster(vectors: np.ndarray, weight: np.ndarray, k: int, rounds: int = 12) -
     for _ in range(rounds if centre else 0):
         own = ((vectors**2).sum(1)[:, None] - 2 * vectors @ c.T + (c**2).sum(1)).argmin(1)
         for j in range(k):
-            if (own == j).any():
+            if (own == j).any() and weight[own == j].sum() > 0:
                 c[j] = np.average(vectors[own == j], axis=0, weights=weight[own == j])
     return own
 
 
-def build(short: list[bytes], sample: list[list[bytes]]) -> Model:
-    """Classes from the company tokens keep: their documents' mix of the 48 most frequent tokens."""
-    index = {t: i for i, t in enumerate(short)}
-    common = {t: i for i, t in enumerate([t for t in short if t != END][:48])}
-    word, sig = np.zeros((len(short), 48)), defaultdict(lambda: np.zeros(48))
-    n_word, n_sig = np.ones(len(short)), Counter()
-    for d in sample:
-        mix = np.bincount([common[t] for t in d if t in common], minlength=48) + 0.01
-        mix = np.sqrt(mix / mix.sum())
-        for t, n in Counter(d).items():
-            if (i := index.get(t)) is not None:
-                word[i] += n * mix
-                n_word[i] += n
-            else:
-                s = signature(t)
-                sig[s] += n * mix
-                n_sig[s] += n
-    company = cluster(word / n_word[:, None], n_word, CLASSES)
-    company[index[END]] = CLASSES
-    # Classes of at most GROUP words of like company, by rank: the cost of a token is bounded so.
-    cls = np.zeros(len(short), np.int64)
-    n = 0
-    for c in range(CLASSES + 1):
-        own = np.flatnonzero(company == c)
-        for lo in range(0, len(own), GROUP):
-            cls[own[lo : lo + GROUP]] = n
-            n += 1
-    names = sorted(sig)
-    tail = cluster(np.array([sig[s] / n_sig[s] for s in names]).reshape(-1, 48), np.array([float(n_sig[s]) for s in names]), CLASSES)
-    model = Model(short, cls, dict(zip(names, map(int, tail), strict=True)))
-    ids = [model.ids(d) for d in sample]
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    model.p["bc"] += np.log(np.bincount(model.classes(flat), minlength=model.n_class) + 1.0).astype(np.float32)
-    model.p["bs"] += np.log(np.bincount(flat[flat < model.n_short], minlength=model.n_short) + 1.0).astype(np.float32)
-    for _ in range(3 if ids else 0):
-        model.train(ids, 0.01, streams=128)
-    return model
-
-
-def _blocks(batches, columns):
-    """The rows of each block: (block, list of tuples). Blocks are contiguous in a partition."""
-    rows = (r for b in batches for r in zip(b["block"], *(b[c] for c in columns), strict=True))
-    for block, own in groupby(rows, key=lambda r: r[0]):
-        yield block, [r[1:] for r in own]
-
-
-def score_texts(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def company(docs: list[np.ndarray], n: int, common: np.ndarray) -> np.ndarray:
+    """(n, COMMON + 1): how often each symbol stands in documents of each most frequent common token (the last: of none)."""
+    if not docs:
+        return np.zeros((n, COMMON + 1))
+    flat = np.concatenate(docs).astype(np.int64)
+    own = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    at = common[flat]
+    mix = np.bincount(own[at >= 0] * COMMON + at[at >= 0], minlength=len(docs) * COMMON).reshape(-1, COMMON)
+    top = np.where(mix.any(1), mix.argmax(1), COMMON)
+    return np.bincount(flat * (COMMON + 1) + top[own], minlength=n * (COMMON + 1)).reshape(n, -1).astype(float)
+
+
+def classes(stats: np.ndarray, n_short: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each short-list word (at most GROUP words of like company) and the tail class of each kind."""
+    n = stats.sum(1)
+    mean = np.sqrt(stats / np.maximum(n, 1)[:, None])
+    own = cluster(mean[:n_short], n[:n_short], COMPANIES)
+    own[end] = COMPANIES
+    short, k = np.zeros(n_short, np.int64), 0
+    for c in range(COMPANIES + 1):
+        at = np.flatnonzero(own == c)
+        for lo in range(0, len(at), GROUP):
+            short[at[lo : lo + GROUP]] = k
+            k += 1
+    return short, cluster(mean[n_short:], n[n_short:] + 1e-9, CLASSES)
+
+
+def _chunks(batches, columns: list[str], size: int):
+    """Lists of rows whose last column sums to about ``size`` in length."""
+    rows, n = [], 0
+    for b in batches:
+        for r in zip(*(b[c] for c in columns), strict=True):
+            rows.append(r)
+            n += len(r[-1]) if r[-1] is not None else 0
+            if n >= size:
+                yield rows
+                rows, n = [], 0
+    if rows:
+        yield rows
+
+
+def _symbols(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint16)
+
+
+ROW = "a binary, w double"
+
+
+def _row(a: np.ndarray, w: float) -> pd.DataFrame:
+    return pd.DataFrame({"a": [np.asarray(a, np.float64).tobytes()], "w": [w]})
+
+
+def combined(rows: DataFrame, fan_in: int = 16) -> tuple[np.ndarray | None, float]:
+    """The sums of ``a`` (arrays of one length) and ``w`` of all rows: ``fan_in`` rows meet in a task, level by level."""
+
+    def add(pdf):
+        return _row(np.sum([np.frombuffer(a) for a in pdf["a"]], axis=0), pdf["w"].sum())
+
+    rows = durable(rows, "sums")
+    while (n := rows.count()) > fan_in:
+        own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-n // fan_in * 2)))
+        rows = durable(rows.groupBy(own).applyInPandas(add, ROW), "sums")
+    found = rows.collect()
+    if not found:
+        return None, 0.0
+    return np.sum([np.frombuffer(r.a) for r in found], axis=0), sum(r.w for r in found)
+
+
+def score_texts(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` has doc_id and text; ``held_out`` is a Column true for rows that teach nothing."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(n_bytes / block_bytes))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-    docs = durable(docs.repartition(n_blocks, "block").sortWithinPartitions("block", "doc_id"), "blocks")
-
-    def count(batches):
-        for block, rows in _blocks(batches, ["text", "held_out"]):
-            train, other = Counter(), set()
-            for text, held in rows:
-                other.update(tokens(text)) if held else train.update(tokens(text))
-            seen = list(train) + [t for t in other if t not in train]
-            yield pd.DataFrame({"block": block, "token": seen, "n": [train.get(t, 0) for t in seen]})
-
-    counted = durable(docs.mapInPandas(count, "block int, token binary, n long"), "counted")
-    total = durable(counted.groupBy("token").agg(F.sum("n").alias("c")).where("c > 0"), "total")
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def index(batches):
+        """Rows of texts as ids of their block's dictionary, and rows of that dictionary."""
+        task = TaskContext.get().partitionId() * 2**24
+        for k, rows in enumerate(_chunks(batches, ["doc_id", "held_out", "text"], block_bytes)):
+            known: defaultdict = defaultdict()
+            known.default_factory = known.__len__
+            ids = [np.fromiter(map(known.__getitem__, tokens(t)), np.int32) for _, _, t in rows]
+            taught = [i for r, i in zip(rows, ids, strict=True) if not r[1]]
+            n = np.bincount(np.concatenate(taught), minlength=len(known)) if taught else np.zeros(len(known), np.int64)
+            words = list(known)
+            for lo in range(0, len(words), 100_000):
+                part = words[lo : lo + 100_000]
+                yield pd.DataFrame({"block": task + k, "doc_id": None, "held_out": None, "ids": None, "token": part, "local": np.arange(lo, lo + len(part)), "n": n[lo : lo + len(part)]})
+            for lo in range(0, len(rows), 1000):
+                d, h, _ = zip(*rows[lo : lo + 1000], strict=True)
+                yield pd.DataFrame({"block": task + k, "doc_id": d, "held_out": h, "ids": [i.tobytes() for i in ids[lo : lo + 1000]], "token": None, "local": None, "n": None})
+
+    schema = "block long, doc_id string, held_out boolean, ids binary, token binary, local int, n long"
+    indexed = durable(docs.mapInPandas(index, schema), "indexed")
+    words = indexed.where("token IS NOT NULL")
+    total = words.groupBy("token").agg(F.sum("n").alias("c")).where("c > 0")
+    total = durable(total.withColumn("kind", kind(F.col("token"))), "total")
     n, v = total.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [bytes(r.token) for r in total.orderBy(F.desc("c"), "token").limit(SHORT).collect()]
-    short = [*(t for t in top if t != END), END]
-
-    # The warm start: whole documents in the order of a hash, up to a number of tokens.
-    learn = docs.where("NOT held_out")
-    share = min(1.0, 1.5 * WARM_TOKENS / max(1, n))
-    few = learn.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10_000)) < math.ceil(share * 10_000)).select("text")
-    sample, size = [], 0
-    for r in few.orderBy(F.xxhash64("text")).limit(4000).toLocalIterator():
-        if size > WARM_TOKENS:
-            break
-        sample.append(tokens(r.text))
-        size += len(sample[-1])
-    model = build(short, sample)
-    warm = spark.sparkContext.broadcast(model)  # SHORT words and fixed numbers of weights
+    top = [(bytes(r.token), r.c) for r in total.orderBy(F.desc("c"), "token").limit(SHORT).collect()]
+    short = [*(t for t in top if t[0] != END), (END, dict(top).get(END, 0))]
+    n_short, end = len(short), len(short) - 1
+    listed = spark.createDataFrame([(t, i) for i, (t, _) in enumerate(short)], "token binary, place int")
+
+    # Symbols of each block's dictionary; tokens that no training text holds have none of ``total``.
+    known = words.select("block", "local", "token").join(total, "token", "left").join(F.broadcast(listed), "token", "left")  # SHORT rows
+    symbol = F.coalesce("place", F.coalesce("kind", kind(F.col("token"))) + n_short)
+    known = known.select(F.col("block").alias("own"), "local", F.coalesce("c", F.lit(0)).alias("c"), symbol.alias("symbol"))
+
+    def encode(left, right):
+        symbol, log, seen = (np.empty(len(right), t) for t in (np.uint16, float, bool))
+        at = right["local"].to_numpy()
+        c = right["c"].to_numpy()
+        symbol[at], log[at], seen[at] = right["symbol"].to_numpy(), np.log10(c + 1.0), c > 0
+        rest = np.where(symbol >= n_short, log, 0.0)
+        rows = []
+        for data in left["ids"]:
+            i = np.frombuffer(data, np.int32)
+            rows.append((len(i), int(seen[i].sum()), float(log[i].sum()), float(rest[i].sum()), symbol[i].tobytes()))
+        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "rest", "symbols"])
+        return pd.concat([left[["block", "doc_id", "held_out"]].reset_index(drop=True), out], axis=1)
+
+    schema = "block long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, rest double, symbols binary"
+    texts = indexed.where("token IS NULL").select("block", "doc_id", "held_out", "ids")
+    encoded = texts.groupBy("block").cogroup(known.groupBy("own")).applyInPandas(encode, schema)
+    # Round r has some 2 ** r blocks, the last one the rest.
+    n_blocks = words.select("block").distinct().count()
+    n_rounds = max(1, int(math.log2(n_blocks + 1)))
+    u = F.pmod(F.xxhash64("block"), F.lit(2**30)) / 2**30
+    round_ = F.least(F.floor(F.log2(u * n_blocks + 1)), F.lit(n_rounds - 1)).cast("int")
+    encoded = durable(encoded.withColumn("round", round_), "encoded", by="round")
+    release(indexed)
+    learn = encoded.where("NOT held_out")
+
+    n_symbols = n_short + KINDS
+    common = np.full(n_symbols, -1)
+    common[: min(COMMON, end)] = np.arange(min(COMMON, end))
+
+    def stats(batches):
+        acc = np.zeros((n_symbols, COMMON + 1))
+        for rows in _chunks(batches, ["symbols"], 2_000_000):
+            acc += company([_symbols(r[0]) for r in rows], n_symbols, common)
+        yield _row(acc, 1.0)
+
+    acc, _ = combined(learn.select("symbols").mapInPandas(stats, ROW))
+    acc = np.zeros((n_symbols, COMMON + 1)) if acc is None else acc.reshape(n_symbols, -1)
+    short_class, tail = classes(acc, n_short, end)
+    to_model = np.r_[np.arange(n_short), n_short + tail].astype(np.int32)
+    model = Model(short_class, end)
+    model.prime(np.bincount(to_model, weights=acc.sum(1), minlength=n_short + CLASSES))
     names = sorted(model.p)
 
-    def fit(batches):
-        acc, weight = None, 0.0
-        for _, rows in _blocks(batches, ["text"]):
-            own = warm.value
-            before = {k: w.copy() for k, w in own.p.items()}
-            ids = [own.ids(tokens(t)) for (t,) in rows]
-            own.train(ids, 0.001)
-            size = float(sum(map(len, ids)))
-            flat = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64) * size
-            acc, weight = flat if acc is None else acc + flat, weight + size
-            own.p = before
-        if acc is not None:
-            yield pd.DataFrame({"w": [weight], "p": [acc]})
-
-    def add(pdf):
-        return pd.DataFrame({"w": [pdf["w"].sum()], "p": [np.sum(pdf["p"].tolist(), axis=0)]})
-
-    fitted = learn.select("block", "text").mapInPandas(fit, "w double, p array<double>")
-    parts = fitted.groupBy(F.pmod(F.spark_partition_id(), F.lit(16))).applyInPandas(add, "w double, p array<double>").collect()  # 16 rows at most
-    if parts:
-        flat = sum(np.array(r.p) for r in parts) / sum(r.w for r in parts)
-        at = 0
-        for k in names:
-            shape, m = model.p[k].shape, model.p[k].size
-            model.p[k] = flat[at : at + m].reshape(shape).astype(np.float32)
-            at += m
-
-    # Corpus counts of the tail classes.
-    def tail(batches):
-        acc = np.zeros((CLASSES, 2))
-        for b in batches:
-            ids = warm.value.ids([bytes(t) for t in b["token"]])
-            rest = ids >= warm.value.n_short
-            acc[:, 0] += np.bincount(ids[rest] - warm.value.n_short, b["c"].to_numpy()[rest], CLASSES)
-            acc[:, 1] += np.bincount(ids[rest] - warm.value.n_short, minlength=CLASSES)
-        yield pd.DataFrame({"k": range(CLASSES), "n": acc[:, 0], "v": acc[:, 1]})
-
-    model.tail_total = np.ones(CLASSES)
-    for r in total.mapInPandas(tail, "k int, n double, v double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        model.tail_total[r.k] = r.n + r.v + 1
+    def fit(pdf_rows, sent, passes, rate):
+        own = sent.value
+        before = {k: w.copy() for k, w in own.p.items()}
+        ids = [to_model[_symbols(s)] for s in pdf_rows]
+        for _ in range(passes):
+            own.train(ids, rate)
+        flat = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64)
+        own.p = before
+        return flat, float(sum(map(len, ids)))
+
+    started = False
+    for r in range(n_rounds):
+        sent = spark.sparkContext.broadcast(model)  # weights of fixed number
+        passes, rate = (1, RATE) if started else (FIRST_PASSES, FIRST_RATE)
+
+        def run(batches, sent=sent, passes=passes, rate=rate):
+            acc, weight = 0.0, 0.0
+            for rows in _chunks(batches, ["symbols"], TRAIN_BYTES):
+                flat, size = fit([s for (s,) in rows], sent, passes, rate)
+                acc, weight = acc + flat * size, weight + size
+            if weight:
+                yield _row(acc, weight)
+
+        flat, weight = combined(learn.where(F.col("round") == r).select("symbols").mapInPandas(run, ROW))
+        if flat is not None:
+            started, at = True, 0
+            for k in names:
+                shape, m = model.p[k].shape, model.p[k].size
+                model.p[k] = (flat[at : at + m] / weight).reshape(shape).astype(np.float32)
+                at += m
+
+    tail_total = np.ones(CLASSES)
+    rest = total.join(F.broadcast(listed), "token", "left_anti").groupBy("kind").agg((F.sum("c") + F.count("*")).alias("n"))  # KINDS rows
+    for r in rest.collect():
+        tail_total[tail[r.kind]] += r.n
     final = spark.sparkContext.broadcast(model)
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    log_n, log_tail = math.log10(n + v + 1), np.log10(tail_total)
+    out = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def score(left, right):
+    def score(batches):
         m = final.value
-        known = dict(zip(map(bytes, right["token"]), map(int, right["c"]), strict=True))
-        log_n, log_tail = math.log10(n + v + 1), np.log10(m.tail_total)
-        rows, ids = [], []
-        logs: dict[int, float] = {}
-        for doc, text, held in zip(left["doc_id"], left["text"], left["held_out"], strict=True):
-            ws = tokens(text)
-            cs = np.array([known.get(t, 0) for t in ws], dtype=np.int64)
-            i = m.ids(ws)
-            lg = np.log10(cs + 1.0)
-            t = i >= m.n_short
-            rows.append((doc, held, len(ws), int((cs > 0).sum()), n, float(lg.sum() - len(ws) * log_n), float(lg[t].sum() - log_tail[i[t] - m.n_short].sum())))
-            ids.append(i)
-        del logs
-        pdf = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        pdf["score"] += m.score(ids) / math.log(10)
-        return pdf.astype({"doc_id": "Int64"})
-
-    back = counted.select("block", "token").join(total, "token")
-    return docs.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(score, out)
+        cols = ["doc_id", "held_out", "n_tokens", "n_known", "base", "rest", "symbols"]
+        for rows in _chunks(batches, cols, SCORE_BYTES):
+            ids = [to_model[_symbols(r[-1])] for r in rows]
+            pdf = pd.DataFrame([r[:-1] for r in rows], columns=cols[:-1])
+            own = [log_tail[i[i >= n_short] - n_short].sum() for i in ids]
+            pdf["score"] = m.score(ids) / math.log(10) + pdf["rest"] - own
+            yield pdf.assign(train_tokens=n, base_score=pdf["base"] - pdf["n_tokens"] * log_n)[out_names]
+
+    out_names = [c.split()[0] for c in out.split(", ")]
+    scored = encoded.select("doc_id", "held_out", "n_tokens", "n_known", "base", "rest", "symbols").mapInPandas(score, out)
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
