@@ -1,20 +1,21 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark passages are indexed whole and searched by windows of WINDOW bytes that start every STEP
-bytes. A window of m bytes that occurs in a text with at most k edits shares at least
-m - q + 1 - k * q of its q-grams with it, and all of them lie on neighbouring diagonals. Shared
-q-grams are counted in overlapping diagonal bands of the passage; windows that meet the bound for
-k = m * RATE are verified by alignment within m * BUDGET edits. A replaced word of n letters costs
-up to n edits but only n + q - 1 q-grams, so the bound also lets through two of them in any window.
+Benchmark passages are searched by windows of WINDOW bytes that start every STEP bytes; windows of
+the same content are one. A window of m bytes that occurs in a text with at most k edits shares at
+least m - q + 1 - k * q of its q-grams with it, and all of them lie on neighbouring diagonals. Shared
+q-grams are counted in overlapping diagonal bands; bands that meet the bound for
+k = m * RATE are merged where they touch and verified by one alignment within m * BUDGET edits. A
+replaced word of n letters costs up to n edits but only n + q - 1 q-grams, so the bound also lets
+through two of them in any window.
 
 So found for sure are all places of a window with at most RATE edits anywhere, or with one or
 two words replaced within BUDGET; and every part of a passage of WINDOW + STEP - 1 bytes or more,
-as it holds a whole window.
+as it holds a whole window. Passages of under LEAST bytes are found where they stand word for word.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import OrderedDict
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,10 @@ from .license_scan import _CLEAN
 WINDOW, STEP, RATE, BUDGET, LEAST = 80, 20, 0.1, 0.2, 32
 #: q of passages of SHORT bytes or more, and of shorter ones, whose bound needs shorter q-grams.
 Q, SHORT_Q, SHORT = 8, 6, 64
-#: Bytes of benchmark text whose index is broadcast at once; more come in further blocks.
-BLOCK = 4_000_000
+#: Bytes of benchmark text whose index is held at once; more come in further blocks, READY of which a worker keeps.
+BLOCK, READY = 4_000_000, 4
+#: Shared q-grams that are counted at once, and characters of text that a worker takes through all blocks.
+HITS, TEXTS = 2_000_000, 32_000_000
 
 
 def normal(text: str | None) -> bytes:
@@ -52,107 +55,205 @@ def grams(data: bytes, q: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def align(item: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
-    """(edits, begin, end) of the best place of ``item`` in ``text`` within k edits, else None.
-
-    Cells further than k edits from the start diagonals of the window cannot count, and the window
-    is only the band's width longer than the item, so each column is of bounded length."""
-    at = text.find(item)
-    if at >= 0:
-        return 0, at, at + len(item)
-    t = np.frombuffer(text, np.uint8)
-    n = len(t)
-    cost, start, steps = np.zeros(n + 1, np.int64), np.arange(n + 1), np.arange(n + 1)
-    diag, left = np.full(n + 1, 2**40), np.zeros(n + 1, np.int64)
-    for i, c in enumerate(item, 1):
-        down = cost + 1
-        diag[1:] = cost[:-1] + (t != c)
-        best = np.minimum(down, diag)
-        left[1:] = start[:-1]
-        own = np.where(diag <= down, left, start)
-        best[0] = i
-        own[0] = 0
-        run = np.minimum.accumulate(best - steps)  # insertions along the text
-        first = np.maximum.accumulate(np.where(best - steps == run, steps, -1))
-        cost, start = run + steps, own[first]
-        if cost.min() > k:
-            return None
-    e = int(cost.argmin())
-    return (int(cost[e]), int(start[e]), e) if cost[e] <= k else None
+def align(pairs: list[tuple[bytes, bytes, int]], cells: int = 200_000) -> list[tuple[int, int, int] | None]:
+    """For each (item, text, k): (edits, begin, end) of the item at its fewest edits, if these are at most k,
+    from the first such place to the last. Items of one length are aligned together, ``cells`` cells at a time."""
+    out: list[tuple[int, int, int] | None] = [None] * len(pairs)
+    rest = []
+    for i, (item, text, _) in enumerate(pairs):
+        if (at := text.find(item)) >= 0:
+            out[i] = 0, at, text.rfind(item) + len(item)
+        elif text:
+            rest.append(i)
+    rest.sort(key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    lo = 0
+    while lo < len(rest):
+        hi, m = lo + 1, len(pairs[rest[lo]][0])
+        while hi < len(rest) and len(pairs[rest[hi]][0]) == m and (hi + 1 - lo) * len(pairs[rest[hi]][1]) <= cells:
+            hi += 1
+        own = np.array(rest[lo:hi])
+        lo = hi
+        n = max(len(pairs[i][1]) for i in own)
+        item = np.array([np.frombuffer(pairs[i][0], np.uint8) for i in own])
+        size = np.array([len(pairs[i][1]) for i in own])
+        text = np.zeros((len(own), n), np.uint8)  # what is filled up equals no letter
+        for j, i in enumerate(own):
+            text[j, : size[j]] = np.frombuffer(pairs[i][1], np.uint8)
+        k = np.array([pairs[i][2] for i in own])
+        steps = np.arange(n + 1, dtype=np.int32)
+        cost, start = np.zeros((len(own), n + 1), np.int32), np.tile(steps, (len(own), 1))
+        for r in range(m):
+            down, diag = cost + 1, np.full_like(cost, 2**30)
+            diag[:, 1:] = cost[:, :-1] + (text != item[:, r, None])
+            best = np.minimum(down, diag)
+            left = np.zeros_like(start)
+            left[:, 1:] = start[:, :-1]
+            near = np.where(diag <= down, left, start)
+            best[:, 0], near[:, 0] = r + 1, 0
+            best -= steps
+            run = np.minimum.accumulate(best, axis=1)  # insertions along the text
+            first = np.maximum.accumulate(np.where(best == run, steps, -1), axis=1)
+            cost, start = run + steps, np.take_along_axis(near, first, axis=1)
+            if r % 8 == 7 or r == m - 1:
+                alive = cost.min(1) <= k
+                if not alive.all():
+                    own, item, text, k, cost, start, size = (x[alive] for x in (own, item, text, k, cost, start, size))
+                if not len(own):
+                    break
+        for j, i in enumerate(own):
+            ends = np.flatnonzero(cost[j] == cost[j].min())
+            out[i] = int(cost[j, ends[0]]), int(start[j, ends[0]]), min(int(ends[-1]), int(size[j]))
+    return out
 
 
 class _Grams:
-    """q-gram index of whole passages for one q, and the windows of each."""
+    """q-gram index of the distinct windows of passages for one q."""
 
     def __init__(self, items: list[tuple[int, bytes]], q: int) -> None:
-        self.items, self.q = items, q
-        self.windows: list[tuple[np.ndarray, int, int, int]] = []
-        code, own, place = [], [], []
-        for i, (_, data) in enumerate(items):
+        self.q = q
+        owners: dict[bytes, dict[int, None]] = {}
+        for item, data in items:
             size = min(len(data), WINDOW)
-            starts = np.array([*range(0, len(data) - size, STEP), len(data) - size])
-            self.windows.append((starts, size, int(size * BUDGET), max(1, size - q + 1 - int(size * RATE) * q)))
-            g = grams(data, q)
-            code.append(g)
-            own.append(np.full(len(g), i))
-            place.append(np.arange(len(g)))
-        code, self.own, self.place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((code, np.uint64), (own, np.int64), (place, np.int64)))
+            for at in (*range(0, len(data) - size, STEP), len(data) - size):
+                owners.setdefault(data[at : at + size], {})[item] = None
+        self.windows = list(owners)
+        self.owners = [list(o) for o in owners.values()]
+        codes = [grams(w, q) for w in self.windows]
+        size = np.array([len(w) for w in self.windows])
+        code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
+        n = np.array([len(c) for c in codes], np.int64)
+        own = np.repeat(np.arange(len(codes)), n)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
         order = np.argsort(code, kind="stable")
-        code, self.own, self.place = code[order], self.own[order], self.place[order]
+        code, self.own, self.place = code[order], own[order], place[order]
         self.code, self.first = np.unique(code, return_index=True)
         self.last = np.r_[self.first[1:], len(code)]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[code >> np.uint64(42)] = True
-        self.need = np.array([w[3] for w in self.windows], np.int64)
-        self.band = np.array([2 * w[2] + 1 for w in self.windows], np.int64)
-
-    def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
+        self.budget = (size * BUDGET).astype(np.int64)
+        self.need = np.maximum(1, size - q + 1 - (size * RATE).astype(np.int64) * q)
+        self.width = 2 * self.budget + 1
+
+    def bands(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(window, band) of every band that meets its window's bound, sorted. Shared q-grams are counted a bounded number at
+        a time; one that stands twice counts twice, which only adds candidates."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         g = grams(text, self.q)
         at = np.flatnonzero(self.bits[g >> np.uint64(42)]) if len(self.code) else np.zeros(0, int)
         if not len(at):
-            return []
+            return none
         slot = np.minimum(np.searchsorted(self.code, g[at]), len(self.code) - 1)
         ok = self.code[slot] == g[at]
         at, slot = at[ok], slot[ok]
+        if not len(at):
+            return none
         n = self.last[slot] - self.first[slot]
-        entry = np.repeat(self.first[slot] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        own, place = self.own[entry], self.place[entry]
-        band = (np.repeat(at, n) - place) // self.band[own]
-        # Overlapping bands: each is two widths wide and starts a width after the one before.
-        own, place, band = np.r_[own, own], np.r_[place, place], np.r_[band, band - 1]
-        order = np.lexsort((place, band, own))
-        own, place, band = own[order], place[order], band[order]
-        if not len(own):
-            return []
-        edge = np.r_[True, (own[1:] != own[:-1]) | (band[1:] != band[:-1])]
-        fresh = edge | np.r_[True, place[1:] != place[:-1]]  # each q-gram of a passage counts once
-        own, place, band, edge = own[fresh], place[fresh], band[fresh], edge[fresh]
-        first = np.flatnonzero(edge)
-        end = np.r_[first[1:], len(own)]
-        enough = end - first >= self.need[own[first]]
-        out = []
-        for f, e in zip(first[enough], end[enough], strict=True):
-            starts, size, k, need = self.windows[own[f]]
-            item, data = self.items[own[f]]
-            count = np.searchsorted(place[f:e], starts + size - self.q + 1) - np.searchsorted(place[f:e], starts)
-            base, width = int(band[f]) * int(self.band[own[f]]), int(self.band[own[f]])
-            for s in starts[count >= need].tolist():
-                lo, hi = max(0, base + s - k), base + 2 * width + s + size + k
-                if found := align(data[s : s + size], text[lo:hi], k):
-                    out.append((item, lo + found[1], lo + found[2], found[0]))
+        ends = np.cumsum(n)
+        span = len(text) // int(self.width.min()) + 8
+        # Where hits are more than bands, bands are counted in place; else by sorting the hits.
+        dense = np.zeros(len(self.windows) * span, np.int32) if ends[-1] > len(self.windows) * span else None
+        keys, counts, lo = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HITS, "right")))
+            m = n[lo:hi]
+            entry = np.repeat(self.first[slot[lo:hi]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            own = self.own[entry]
+            band = (np.repeat(at[lo:hi], m) - self.place[entry]) // self.width[own] + 5  # from 1 on
+            # Overlapping bands: each is two widths wide and starts a width after the one before.
+            key = np.r_[own * span + band, own * span + band - 1]
+            if dense is not None:
+                dense += np.bincount(key, minlength=len(dense)).astype(np.int32)
+                lo = hi
+                continue
+            key, count = np.unique(np.r_[keys, key], return_counts=True)
+            if len(keys):
+                count[np.searchsorted(key, keys)] += counts - 1
+            keys, counts, lo = key, count, hi
+        if dense is not None:
+            keys = np.flatnonzero(dense)
+            counts = dense[keys]
+        keys = keys[counts >= self.need[keys // span]]
+        return keys // span, keys % span - 5
+
+    def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
+        pairs, at = [], []
+        for t, text in enumerate(texts):
+            own, band = self.bands(text)
+            if not len(own):
+                continue
+            cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (band[1:] > band[:-1] + 2)])
+            for i, j in zip(cut, np.r_[cut[1:], len(own)] - 1, strict=True):
+                w, k, width = self.windows[own[i]], int(self.budget[own[i]]), int(self.width[own[i]])
+                lo, hi = max(0, int(band[i]) * width - k), (int(band[j]) + 2) * width + len(w) + k
+                pairs.append((w, text[lo:hi], k))
+                at.append((t, int(own[i]), lo))
+        out: list[list] = [[] for _ in texts]
+        for (t, w, lo), found in zip(at, align(pairs), strict=True):
+            if found:
+                out[t] += [(item, lo + found[1], lo + found[2], found[0]) for item in self.owners[w]]
         return out
 
 
+class _Exact:
+    """Passages too short for a bound, found word for word."""
+
+    def __init__(self, items: list[tuple[int, bytes]]) -> None:
+        import ahocorasick
+
+        own: dict[str, list[int]] = {}
+        for item, data in items:
+            own.setdefault(data.decode("latin-1"), []).append(item)
+        self.auto = ahocorasick.Automaton()
+        for text, ids in own.items():
+            self.auto.add_word(f" {text} ", (len(text), ids))
+        self.auto.make_automaton()
+
+    def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
+        lines = (f" {t.decode('latin-1')} " for t in texts)
+        return [[(i, end - n - 1, end - 1, 0) for end, (n, ids) in self.auto.iter(line) for i in ids] for line in lines]
+
+
 class Index:
-    """q-gram index of benchmark passages, with shorter q-grams for short passages."""
+    """The windows of benchmark passages, with shorter q-grams for short passages; the shortest as they are."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        short, rest = [x for x in items if len(x[1]) < SHORT], [x for x in items if len(x[1]) >= SHORT]
-        self.parts = [_Grams(x, q) for x, q in ((rest, Q), (short, SHORT_Q)) if x]
+        by = lambda lo, hi: [x for x in items if lo <= len(x[1]) < hi]
+        self.parts: list = [_Grams(x, q) for x, q in ((by(SHORT, 2**62), Q), (by(LEAST, SHORT), SHORT_Q)) if x]
+        if few := by(1, LEAST):
+            self.parts.append(_Exact(few))
 
     def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        """(item, begin, end, edits) of every verified window of a normalised text."""
-        return sorted({f for p in self.parts for f in p.search(text)})
+        """(item, begin, end, edits) of every verified place in a normalised text."""
+        return self.search_all([text])[0]
+
+    def search_all(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
+        found = [p.search(texts) for p in self.parts]
+        return [sorted({f for part in found for f in part[i]}) for i in range(len(texts))]
+
+
+class Indexes:
+    """The indexes of all blocks of a benchmark; a worker keeps the last READY of them."""
+
+    def __init__(self, blocks: list) -> None:
+        self.blocks, self.ready = blocks, OrderedDict()
+
+    def get(self, i: int) -> Index:
+        if i not in self.ready:
+            if len(self.ready) >= READY:
+                self.ready.popitem(last=False)
+            self.ready[i] = Index(self.blocks[i].value)
+        self.ready.move_to_end(i)
+        return self.ready[i]
+
+    def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text what is found in it: block by block, so that each index is made once for many texts."""
+        out: list[list] = [[] for _ in texts]
+        for i in range(len(self.blocks)):
+            index = self.get(i)
+            for lo in range(0, len(texts), 64):
+                for own, found in zip(out[lo : lo + 64], index.search_all(texts[lo : lo + 64]), strict=True):
+                    own += found
+        return out
 
 
 def blocks_of(benchmark: DataFrame, limit: int = BLOCK):
@@ -160,7 +261,7 @@ def blocks_of(benchmark: DataFrame, limit: int = BLOCK):
     block, size = [], 0
     for r in benchmark.where("text IS NOT NULL").select("item_id", "text").orderBy("item_id").toLocalIterator():
         data = normal(r.text)
-        if len(data) < LEAST:
+        if not data:
             continue
         if block and size + len(data) > limit:
             yield block
@@ -171,54 +272,65 @@ def blocks_of(benchmark: DataFrame, limit: int = BLOCK):
         yield block
 
 
+def _broadcast(spark: SparkSession, benchmark: DataFrame) -> list:
+    """The benchmark's blocks of bounded size, each sent to the executors that ask for it."""
+    return [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark)]
+
+
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_regions, begin, end, edits): matches of benchmark passages in ``docs``.
 
-    ``docs`` has doc_id and text. Passages of under LEAST normalised bytes are not searched, as they
-    say nothing about where a text is from. The index of each block (of bounded size) is broadcast."""
+    ``docs`` has doc_id and text; they are read once, whatever the benchmark's size."""
     schema = "doc_id long, item_id long, n_regions long, begin long, end long, edits int"
-    parts = []
-    for block in blocks_of(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, index=index):
-            idx = Index(index.value)
-            for b in batches:
-                rows = []
-                for d, t in zip(b["doc_id"], b["text"], strict=True):
-                    found = idx.search(normal(t)) if isinstance(t, str) else []
-                    for item in {f[0] for f in found}:
+    blocks = _broadcast(docs.sparkSession, benchmark)
+    if not blocks:
+        return docs.sparkSession.createDataFrame([], schema)
+
+    def run(batches):
+        indexes = Indexes(blocks)
+        for b in batches:
+            rows, at = [], 0
+            texts = [t if isinstance(t, str) else "" for t in b["text"]]
+            ids = b["doc_id"].tolist()
+            while at < len(texts):
+                end, n = at, 0
+                while end < len(texts) and (end == at or n + len(texts[end]) <= TEXTS):
+                    n += len(texts[end])
+                    end += 1
+                for d, found in zip(ids[at:end], indexes.search([normal(t) for t in texts[at:end]]), strict=True):
+                    for item in sorted({f[0] for f in found}):
                         own = [f for f in found if f[0] == item]
-                        rows.append((d, item, len(own), own[0][1], own[-1][2], min(f[3] for f in own)))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_regions", "begin", "end", "edits"]).astype({"doc_id": "Int64"})
+                        rows.append((d, item, len(own), min(f[1] for f in own), max(f[2] for f in own), min(f[3] for f in own)))
+                at = end
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_regions", "begin", "end", "edits"]).astype({"doc_id": "Int64"})
 
-        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, parts)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark passage found in it. Null and empty texts and passages
-    match nothing; repeated documents give rows each."""
+    match nothing; repeated documents give rows each; passages of one text are each found."""
     return find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-def _clean(index):
-    """A filter that is false for texts in which a passage of the block is found."""
-    cache: list[Index] = []
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents that hold no benchmark passage, in one pass. Null and empty texts
+    stay; repeated rows are judged alike; all columns are kept as they are."""
+    blocks = _broadcast(spark, table(spark, sf_dir, "benchmark"))
+    cache: list[Indexes] = []
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
         if not cache:
-            cache.append(Index(index.value))
-        return texts.map(lambda t: not (isinstance(t, str) and cache[0].search(normal(t)))).astype(bool)
-
-    return clean
-
-
-def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that hold no benchmark passage, in one pass for each block."""
-    for block in blocks_of(table(spark, sf_dir, "benchmark")):
-        docs = docs.where(_clean(spark.sparkContext.broadcast(block))("text"))
-    return docs
+            cache.append(Indexes(blocks))
+        out, at, ts = [], 0, [t if isinstance(t, str) else "" for t in texts]
+        while at < len(ts):
+            end, n = at, 0
+            while end < len(ts) and (end == at or n + len(ts[end]) <= TEXTS):
+                n += len(ts[end])
+                end += 1
+            out += [not f for f in cache[0].search([normal(t) for t in ts[at:end]])]
+            at = end
+        return pd.Series(out, dtype=bool)
+
+    return docs.where(clean("text")) if blocks else docs

@@ -1,124 +1,167 @@
 """HTML main text by consensus host paths.
 
-Each page is parsed once into its text blocks and containers; a container's score is the text in it
-that is neither link nor boilerplate. Each page votes for the generalised tag-class path of its best
-container, Spark sums the votes of a host, and each page is then re-extracted with its host's
-winning path (its own best container where the page has no such path).
+Each page is parsed once into its text blocks and containers. A container's score is its text that is
+not in links, text of containers inside counting a tenth less for each level; text in elements
+whose class words speak of boilerplate counts little. Each page votes for the generalised tag-class path of
+its best container, Spark sums the votes of a host, and each page is then re-extracted with its
+host's winning path (its own best container where the page has no such path). What class words mark
+inside the chosen container is left out; the chosen container itself is never dropped by them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import durable, table
 
-_RAW = "script|style|noscript|template|textarea|title|iframe|svg|canvas|object|select|button|math|audio|video"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?<![\w-])(hidden)(?![\w-])")
+#: Elements whose content is no markup; the parser goes on after their end tag.
+_RAW = frozenset("script style noscript textarea title iframe xmp noembed noframes".split())
+#: Elements whose text is never part of an article.
+_HARD = frozenset("nav footer aside dialog menu head svg canvas object select button template audio video datalist".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul head".split()
+    "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head".split()
 )
-_CONTAINER = frozenset("article main section div td body blockquote center".split())
-_BOILER_TAG = frozenset("nav footer aside form head dialog menu".split())
+_CONTAINER = frozenset("article main section div td body blockquote center form fieldset".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_NEVER = frozenset(
+#: Class words that speak of boilerplate, those that do so only without a content word, and content words.
+_NOISE = frozenset(
     "comment comments commentlist disqus respond reply replies ad ads advert adverts advertisement advertising sponsor sponsored promo "
     "related recommended share sharing social newsletter subscribe signup cookie cookies consent popup modal paywall breadcrumb breadcrumbs "
     "pagination pager sidebar nav navbar navigation menu footer".split()
 )
 _WEAK = frozenset("header masthead topbar banner notice notices alert widget toolbar search login skip legal copyright overlay rail gdpr form".split())
 _CONTENT = frozenset("article post entry content story main body text".split())
+#: Words that turn a class name into a statement about another element: no-sidebar, comments-open.
+_ABOUT = frozenset("no has with without hide show is open closed off on enabled disabled left right layout".split())
+#: What the text of marked elements counts, what a level counts, and the bonus of semantic elements.
+NOISE_WEIGHT, LEVEL, BONUS = 0.05, 0.9, 1.3
+#: Steps of a path that are kept; what is above them is a digest.
+DEPTH = 24
+
+_OPEN = re.compile(r"<(?:!--|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_ATTR = re.compile(r"[\s/]*(?:(>)|([^\s/>=][^\s/>=]*|=)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?)")
+
+
+def _tokens(page: str):
+    """(kind, value, attributes) in one pass: text, start, end. A tag that never ends takes the rest of the page."""
+    at, n = 0, len(page)
+    while at < n:
+        m = _OPEN.search(page, at)
+        if m is None:
+            yield "text", page[at:], None
+            return
+        if m.start() > at:
+            yield "text", page[at : m.start()], None
+        at = m.end()
+        if m[3] is None:
+            end = page.find(">" if m[1] else "-->", at)
+            at = n if end < 0 else end + (1 if m[1] else 3)
+            continue
+        name, attrs = m[3].lower(), {}
+        while (a := _ATTR.match(page, at)) and not a[1]:
+            at = a.end()
+            attrs.setdefault(a[2].lower(), a[3] or a[4] or a[5] or "")
+        if a is None:
+            return
+        at = a.end()
+        if m[2]:
+            yield "end", name, None
+            continue
+        yield "start", name, attrs
+        if name in _RAW:
+            end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+            at = n if end is None else end.start()
 
 
 def _words(value: str) -> list[str]:
-    return re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower().replace("-", " ").replace("_", " ").split()
-
-
-def _traits(name: str, raw: str) -> tuple[str, bool]:
-    """The generalised step of an element and whether its attributes mark it as boilerplate."""
-    if not raw or raw == "/":
-        return name, False
-    at, hidden = {}, False
-    for m in _ATTR.finditer(raw):
-        if m[3]:
-            hidden = True
-        else:
-            at.setdefault(m[1].lower(), m[2].strip("\"'"))
-    classes = sorted({re.sub(r"\d+", "", c.lower()) for c in at.get("class", "").split()} - {""})
-    tokens = {re.sub(r"\d+$", "", t) for k in ("class", "id", "role", "aria-label") for t in _words(at.get(k, ""))}
-    boiler = bool(tokens & _NEVER) and name not in ("body", "html") or bool(tokens & _WEAK and not tokens & _CONTENT) and name not in ("body", "html", "article", "main")
-    if name in ("article", "main") and not tokens & {"comment", "comments", "reply", "ad", "ads", "advert", "related", "promo", "sponsored", "recommended"}:
-        boiler = False
-    hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", "")))
-    return name + "".join(f".{c}" for c in classes), boiler or hidden
-
-
-def parse(page: str) -> tuple[list[str], list[tuple[str, int, int, float]]]:
-    """(blocks, containers): text blocks without boilerplate, and (path, first, end, score) ranges."""
-    blocks: list[str] = []
-    links: list[int] = []
-    found: list[tuple[str, int, int, float]] = []
-    # open elements: name, step, boilerplate inside, first block
-    stack: list[tuple[str, str, bool, int]] = []
-    text: list[str] = []
-    linked = 0
+    return [re.sub(r"\d+$", "", w) for w in re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower().replace("-", " ").replace("_", " ").split()]
+
+
+def _marked(name: str, attrs: dict) -> bool:
+    """Whether an element's names speak of boilerplate and none of them of content."""
+    noise = weak = content = False
+    for value in [*attrs.get("class", "").split(), attrs.get("id", ""), attrs.get("role", "")]:
+        ws = set(_words(value))
+        if ws & _ABOUT:
+            continue
+        noise |= bool(ws & _NOISE)
+        weak |= bool(ws & _WEAK)
+        content |= bool(ws & _CONTENT) and not ws & _NOISE
+    if name in ("body", "html", "article", "main"):
+        return noise and not content and name == "article"
+    return (noise or weak) and not content
+
+
+def _step(name: str, attrs: dict) -> str:
+    classes = sorted({re.sub(r"\d+", "", c.lower()) for c in attrs.get("class", "").split()} - {""})
+    return name + "".join(f".{c}" for c in classes)
+
+
+def parse(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, int, int, float]]]:
+    """(blocks, containers): (text, depth of the innermost marked element around it, 0 without one) and
+    (path, depth, first block, end, score), the innermost container first."""
+    blocks: list[tuple[str, int]] = []
+    found: list[tuple[str, int, int, int, float]] = []
+    # open elements: name, path, hard, marked depth, first block, own score
+    stack: list[list] = []
+    open_: Counter = Counter()
+    text: list[tuple[str, bool]] = []
+    linked, inline = 0, 0
 
     def flush() -> None:
         nonlocal linked
-        if text:
-            line = " ".join("".join(text).split())
-            if line:
-                blocks.append(line)
-                links.append(min(linked, len(line)))
-            text.clear()
+        clear = " ".join("".join(s for s, noise in text if not noise).split())
+        line = clear or " ".join("".join(s for s, _ in text).split())
+        if line and stack:
+            depth = len(stack) if not clear else stack[-1][3]
+            owner = next((e for e in reversed(stack) if e[0] in _CONTAINER), stack[0])
+            owner[5] += max(0, len(line) - linked) * (NOISE_WEIGHT if depth else 1.0)
+            blocks.append((line, depth))
+        elif line:
+            blocks.append((line, 0))
+        text.clear()
         linked = 0
 
     def pop() -> None:
-        name, step, boiler, first = stack.pop()
-        if name in _CONTAINER and not boiler and len(blocks) > first:
-            clear = sum(len(b) - n for b, n in zip(blocks[first:], links[first:], strict=True))
-            path = ">".join([s[1] for s in stack if s[0] in _CONTAINER] + [step])
-            bonus = 1.3 if name in ("article", "main") or "articlebody" in step else 1.0 if name != "body" else 0.9
-            found.append((path, first, len(blocks), clear * bonus))
-
-    def say(raw: str) -> None:
-        nonlocal linked
-        if not raw or stack and stack[-1][2]:
-            return
-        s = html.unescape(raw) if "&" in raw else raw
-        text.append(s)
-        if any(e[0] == "a" for e in stack):
-            linked += len(s)
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if name is None:
+        nonlocal inline
+        name, path, hard, _, first, score = stack.pop()
+        open_[name] -= 1
+        inline -= path is None and score == "noise"
+        if name in _BLOCK and name in _CONTAINER:
+            if not hard and len(blocks) > first and score > 0:
+                bonus = BONUS if name in ("article", "main") else 1.0
+                found.append((path, len(stack) + 1, first, len(blocks), score * bonus))
+            if owner := next((e for e in reversed(stack) if e[0] in _CONTAINER), None):
+                owner[5] += LEVEL * score
+
+    for kind, value, attrs in _tokens(page):
+        if kind == "text":
+            if not (stack and stack[-1][2]):
+                s = html.unescape(value) if "&" in value else value
+                text.append((s, inline > 0))
+                if open_["a"] > 0:
+                    linked += len(s)
             continue
-        name = name.lower()
-        if m[2]:  # an end tag
+        name = value
+        if kind == "end":
             if name == "br":
-                text.append(" ")
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+                text.append((" ", False))
             if name in _BLOCK:
                 flush()
-            if k is not None and (name in _BLOCK or not any(e[0] in _BLOCK for e in stack[k + 1 :])):
-                while len(stack) > k:
-                    pop()
+            if open_[name] > 0:
+                k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
+                if name in _BLOCK or not any(e[0] in _BLOCK for e in stack[k + 1 :]):
+                    while len(stack) > k:
+                        pop()
             continue
         if name in _BLOCK:
             flush()
@@ -129,29 +172,50 @@ def parse(page: str) -> tuple[list[str], list[tuple[str, int, int, float]]]:
             if any(e[0] in shut for e in stack[k:]):
                 while len(stack) > k:
                     pop()
-        elif name in ("br", "img", "wbr"):
-            text.append(" " if name == "br" else "")
+        elif name == "br":
+            text.append((" ", False))
         if name in _VOID:
             continue
-        step, boiler = _traits(name, m[4].strip()) if m[4] else (name, False)
-        inside = bool(stack and stack[-1][2])
-        in_main = name == "header" and any(e[0] in ("article", "main") for e in stack)
-        stack.append((name, step, inside or boiler or name in _BOILER_TAG or name == "header" and not in_main, len(blocks)))
-    say(page[at:])
+        up = stack[-1] if stack else None
+        hidden = bool(attrs) and ("hidden" in attrs or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""))))
+        in_article = open_["article"] > 0 or open_["main"] > 0
+        hard = bool(up and up[2]) or hidden or name in _HARD or name in _RAW or name == "header" and not in_article
+        marked = name == "form" or bool(attrs) and _marked(name, attrs)
+        depth = len(stack) + 1 if marked and name in _BLOCK else up[3] if up else 0
+        path, score = None, 0.0
+        if name in _CONTAINER:
+            above = next((e[1] for e in reversed(stack) if e[1] is not None), None)
+            path = _step(name, attrs or {}) if above is None else f"{above}>{_step(name, attrs or {})}"
+            if path.count(">") >= DEPTH:
+                head, _, tail = path.partition(">")
+                nxt, _, rest = tail.partition(">")
+                path = f"#{hashlib.md5(f'{head}>{nxt}'.encode()).hexdigest()[:12]}>{rest}"
+        elif marked and name not in _BLOCK:
+            score, inline = "noise", inline + 1
+        stack.append([name, path, hard, depth, len(blocks), score])
+        open_[name] += 1
     flush()
     while stack:
         pop()
-    if blocks:
-        found.append(("", 0, len(blocks), 0.5 * sum(len(b) - n for b, n in zip(blocks, links, strict=True))))
+    if blocks and not found:
+        found.append(("", 0, 0, len(blocks), 0.5 * sum(len(b) for b, d in blocks)))
     return blocks, found
 
 
-def best(found: list[tuple[str, int, int, float]]) -> tuple[str, int, int, float] | None:
+def best(found: list[tuple[str, int, int, int, float]]) -> tuple[str, int, int, int, float] | None:
     """The container of the highest score; the one closed first (the innermost) of equals."""
-    return max(found, key=lambda c: c[3], default=None)
+    return max(found, key=lambda c: c[4], default=None)
 
 
-PARSED = "page_id long, url string, host string, blocks array<string>, ranges array<struct<path:string,first:int,end:int>>, own string, score double"
+PARSED = (
+    "page_id long, url string, host string, blocks array<struct<text:string,noise:int>>, "
+    "ranges array<struct<path:string,depth:int,first:int,end:int>>, own string, score double"
+)
+
+
+def host_of(url: str | None) -> str:
+    m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url if isinstance(url, str) else "")
+    return re.sub(r"^(?:www|m)\.", "", m[1].lower()) if m else ""
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -161,10 +225,9 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             for page, url, text in zip(b["page_id"], b["url"], b["html"], strict=True):
                 blocks, found = parse(text if isinstance(text, str) else "")
                 top = best(found)
-                m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url if isinstance(url, str) else "")
-                host = re.sub(r"^(?:www|m)\.", "", m[1].lower()) if m else ""
-                ranges = [{"path": p, "first": i, "end": j} for p, i, j, _ in found]
-                rows.append((page, url, host, blocks, ranges, top[0] if top else None, float(top[3]) if top else 0.0))
+                ranges = [{"path": p, "depth": d, "first": i, "end": j} for p, d, i, j, _ in found]
+                lines = [{"text": t, "noise": d} for t, d in blocks]
+                rows.append((page, url, host_of(url), lines, ranges, top[0] if top else None, float(top[4]) if top else 0.0))
             yield pd.DataFrame(rows, columns=["page_id", "url", "host", "blocks", "ranges", "own", "score"]).astype({"page_id": "Int64"})
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(run, PARSED)
@@ -174,13 +237,19 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 32_000_000
 
 
-def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(page_id, url, text) of every page, from a DataFrame with page_id, url and html."""
-    parsed = durable(parse_pages(pages), "parsed")
-    # A page's vote weighs at most 1; partial sums are made before the votes of a host meet.
+def winners(parsed: DataFrame) -> DataFrame:
+    """(host, winner): the path with most votes; a page's vote weighs at most 1. Ties go to the first path.
+
+    Partial sums are made before the votes of a host meet, and again before its paths do."""
     votes = parsed.where("own IS NOT NULL").groupBy("host", "own").agg(F.sum(F.least(F.lit(1.0), F.col("score") / 200)).alias("votes"))
-    rank = F.row_number().over(W.partitionBy("host").orderBy(F.desc("votes"), "own"))
-    win = durable(votes.withColumn("rank", rank).where("rank = 1").select("host", F.col("own").alias("winner")), "winners")
+    return votes.groupBy("host").agg(F.min_by("own", F.struct(-F.round("votes", 6), "own")).alias("winner"))
+
+
+def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, vote: bool = True) -> DataFrame:
+    """(page_id, url, text) of every page, from a DataFrame with page_id, url and html. Without ``vote``
+    every page uses its own best container."""
+    parsed = durable(parse_pages(pages), "parsed")
+    win = durable(winners(parsed) if vote else winners(parsed).limit(0), "winners")
     # The texts move only where the winners are too many to be sent; that join splits a hot host.
     size = win.agg(F.sum(F.octet_length("host") + F.octet_length("winner") + 64)).first()[0] or 0
     out = parsed.join(F.broadcast(win) if size <= broadcast_bytes else win.hint("merge"), "host", "left")
@@ -188,7 +257,8 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
     out = out.withColumn("use", of(F.col("winner")))
     out = out.withColumn("use", F.when(F.size("use") > 0, F.col("use")).otherwise(of(F.col("own"))))
     # Several containers of the path: all their blocks, once each, in page order.
-    lines = F.filter("blocks", lambda b, i: F.exists("use", lambda r: (r["first"] <= i) & (i < r["end"])))
+    inside = lambda b, i: F.exists("use", lambda r: (r["first"] <= i) & (i < r["end"]) & (b["noise"] <= r["depth"]))
+    lines = F.transform(F.filter("blocks", inside), lambda b: b["text"])
     return out.select("page_id", "url", F.coalesce(F.array_join(lines, "\n"), F.lit("")).alias("text"))
 
 
