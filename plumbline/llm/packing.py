@@ -1,10 +1,11 @@
 """Best-fit packing with certified bounds.
 
-Texts become token ids once. Pieces go to partitions by hash; each partition packs by best-fit
-decreasing, and dual feasible functions give a lower bound on its bins. A partition at its bound is
-certified and final. One with a gap keeps its full bins and gives the documents of the others to a
-pool, which is dealt to fewer partitions (so that documents of different partitions meet) and packed
-again, until one partition is left or nothing is released.
+Texts become token ids once. Pieces go to partitions by hash, to several even where one would hold
+them; each partition packs by best-fit decreasing, and dual feasible functions give a lower bound on
+its bins, in whole numbers. A partition at its bound is certified and final. One with a gap refills its
+loosest bins by subset sums and by trial; if a gap is left, it gives the documents of these bins to a pool, which
+is dealt to fewer partitions (so that documents of different partitions meet) and packed again. The
+last partition is packed in both ways and keeps the better one. ``certificate`` tells what gap is left.
 """
 
 from __future__ import annotations
@@ -101,15 +102,17 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    """The best bound of two families of dual feasible functions on a histogram of lengths."""
-    size = np.arange(len(counts))
-    total = lambda f: int(np.ceil((f * counts).sum() / 1 - 1e-9))
-    best = total(size / capacity)
-    for e in range(1, capacity // 2 + 1, max(1, capacity // 128)):  # large to 1, small to 0
-        best = max(best, total(np.where(size > capacity - e, 1.0, np.where(size >= e, size / capacity, 0.0))))
+    """The best bound of two families of dual feasible functions on a histogram of lengths, in integers."""
+    counts = counts.astype(object)
+    size = np.arange(len(counts)).astype(object)
+    up = lambda total, unit: -(-int(total) // unit)
+    best = up((size * counts).sum(), capacity)
+    for e in range(1, capacity // 2 + 1, max(1, capacity // 128)):  # large to the whole, small to nothing
+        middle = slice(e, max(e, capacity - e + 1))
+        best = max(best, up(counts[capacity - e + 1 :].sum() * capacity + (size[middle] * counts[middle]).sum(), capacity))
     for k in range(1, 21):  # rounds down to multiples of 1 / k
         x = size * (k + 1)
-        best = max(best, total(np.where(x % capacity == 0, size / capacity, (x // capacity) / k)))
+        best = max(best, up((np.where(x % capacity == 0, size * k, (x // capacity) * capacity) * counts).sum(), capacity * k))
     return best
 
 
@@ -138,54 +141,130 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return place, offset, np.array(room_of, dtype=np.int64)
 
 
-def _pack(capacity: int, round_: int, last: bool, slack: int):
-    def run(batches):
-        for pdf in batches:
-            n = pdf["length"].to_numpy()
-            place, offset, room = best_fit(n, capacity)
-            gap = len(room) > lower_bound(np.bincount(n, minlength=capacity + 1), capacity)
-            free = (room > slack) if gap and not last else np.zeros(len(room), bool)
-            part = pdf["part"].iloc[0]
-            base = (round_ * 2**31 + int(part)) * 2**24
-            yield pdf.drop(columns="part").assign(sequence_id=np.where(free[place], -1, base + place), offset=offset)
-
+def complete(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``best_fit``, bin by bin: the largest item that is left and those that together fill the rest best.
+
+    Sums of items are bits of a number; larger items are tried first, so that small ones are kept for later."""
+    own: dict[int, list[int]] = {}
+    for i in np.argsort(lengths, kind="stable"):
+        own.setdefault(int(lengths[i]), []).append(int(i))
+    sizes = sorted(own, reverse=True)
+    place, offset, rooms = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), []
+    while sizes:
+        chosen, room = [sizes[0]], capacity - sizes[0]
+        reach, full, steps = 1, (1 << (room + 1)) - 1, []
+        for n in sizes:
+            if n > room:
+                continue
+            left, k = min(len(own[n]) - (n == sizes[0]), room // n), 1
+            while left > 0:
+                t = min(k, left)
+                if (more := (reach | reach << (t * n)) & full) != reach:
+                    steps.append((n, t, reach))
+                    reach = more
+                left, k = left - t, 2 * k
+            if reach >> room & 1:
+                break
+        total = reach.bit_length() - 1
+        for n, t, before in reversed(steps):
+            if not before >> total & 1:
+                chosen += [n] * t
+                total -= t * n
+        at = 0
+        for n in chosen:
+            i = own[n].pop()
+            place[i], offset[i] = len(rooms), at
+            at += n
+        rooms.append(capacity - at)
+        sizes = [n for n in sizes if own[n]]
+    return place, offset, np.array(rooms, dtype=np.int64)
+
+
+def fill(lengths: np.ndarray, capacity: int, loose: int, tries: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(bin, offset) of each item, the room left in each bin, and the gap to the bound.
+
+    Best-fit decreasing; where that leaves a gap, its ``loose`` bins with most room are filled anew, and then a
+    few bins at a time, drawn by a fixed seed and the looser the likelier, for ``tries`` times or until the gap is closed."""
+    place, _, room = best_fit(lengths, capacity)
+    bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+    bins: list[np.ndarray] = np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place))[:-1]) if len(lengths) else []
+    rng = np.random.default_rng(len(lengths))
+    for t in range(tries if len(bins) > bound else 0):
+        room = np.array([capacity - lengths[b].sum() for b in bins]) if t % 20 == 0 else room
+        if t == 0:
+            chosen = np.argsort(-room, kind="stable")[:loose]
+        else:
+            weight = room + 5.0
+            chosen = rng.choice(len(bins), min(int(rng.integers(5, 60)), len(bins)), replace=False, p=weight / weight.sum())
+        items = np.concatenate([bins[i] for i in chosen])
+        rng.shuffle(items)
+        new = min((complete(lengths[items], capacity), best_fit(lengths[items], capacity)), key=lambda x: len(x[2]))
+        if len(new[2]) <= len(chosen):
+            parts = np.split(items[np.argsort(new[0], kind="stable")], np.cumsum(np.bincount(new[0]))[:-1])
+            for i, p in zip(chosen, parts, strict=False):
+                bins[i] = p
+            if len(parts) < len(chosen):
+                gone = set(chosen[len(parts) :].tolist())
+                bins = [b for i, b in enumerate(bins) if i not in gone]
+                room = np.array([capacity - lengths[b].sum() for b in bins])
+                if len(bins) <= bound:
+                    break
+    place, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    for i, b in enumerate(bins):
+        place[b], offset[b] = i, np.cumsum(lengths[b]) - lengths[b]
+    room = np.array([capacity - lengths[b].sum() for b in bins], dtype=np.int64)
+    return place, offset, room, len(room) - bound
+
+
+def _pack(capacity: int, round_: int, last: bool, loose: int):
     def group(pdf):
-        return next(run([pdf]))
+        n = pdf["length"].to_numpy()
+        place, offset, room, gap = fill(n, capacity, loose)
+        free = np.zeros(len(room), bool)
+        if gap and not last:
+            free[np.argsort(-room, kind="stable")[:loose]] = True
+            free &= room > 0
+        base = (round_ * 2**31 + int(pdf["part"].iloc[0])) * 2**24
+        return pdf.drop(columns="part").assign(sequence_id=np.where(free[place], -1, base + place), offset=offset)
 
     return group
 
 
-def pack(items: DataFrame, *, capacity: int = CAPACITY, target: int = 60_000, slack: int = 16, rounds: int = 6) -> DataFrame:
+def pack(items: DataFrame, *, capacity: int = CAPACITY, target: int = 60_000, loose: int = 2000, least: int = 4) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to items that have ``length`` (1 to ``capacity``).
 
-    ``target`` is the number of items a partition holds; it bounds the memory of a task. Items of
-    full length fill a sequence alone and take no part in the search."""
+    ``target`` is the number of items a partition holds, which bounds the memory of a task; there are ``least`` partitions
+    at first. A partition with a gap releases ``loose`` bins at most, so the pool of the next round
+    is a fraction of this one's, until one partition holds it. Items of full length fill a sequence alone and take
+    no part in the search. ``items`` is read more than once: a stored table."""
     schema = items.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", sequence_id long, offset long"
     whole = items.where(F.col("length") == capacity).withColumns(
         {"sequence_id": -2 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}
     )
-    pool, done = items.where(F.col("length") < capacity), [whole]
+    pool, out, r = items.where(F.col("length") < capacity), whole, 0
     n = pool.count()
-    for r in range(rounds):
-        parts = max(1, -(-n // target))
-        last = parts == 1 or r == rounds - 1
-        part = F.pmod(F.xxhash64(*items.columns, F.lit(r)), F.lit(parts)).cast("int")
+    parts = max(least, -(-n // target))
+    while n:
+        # A row number sets repeated rows apart, which may be a third of all.
+        part = F.pmod(F.xxhash64(*items.columns, F.monotonically_increasing_id(), F.lit(r)), F.lit(parts)).cast("int")
         packed = durable(
-            pool.withColumn("part", part).groupBy("part").applyInPandas(_pack(capacity, r, last, slack), schema), f"pack{r}"
+            pool.withColumn("part", part).groupBy("part").applyInPandas(_pack(capacity, r, parts == 1, loose), schema), f"pack{r}"
         )
-        done.append(packed.where("sequence_id >= 0"))
-        if last:
-            break
+        out = out.unionByName(packed.where("sequence_id >= 0"))
         pool = packed.where("sequence_id = -1").select(*items.columns)
-        n = pool.count()
-        if not n:
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+        n, r = pool.count(), r + 1
+        parts = max(1, min(parts // 2, -(-n // target)))
     return out
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences, lower bound) of all that is packed: at equal numbers no packing has fewer."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").agg(F.count("*").alias("n")).collect():  # capacity rows at most
+        counts[r.length] = r.n
+    return packed.select("sequence_id").distinct().count(), lower_bound(counts, capacity)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece of every document. A null or empty text is one piece that holds only the
     end; repeated rows are packed as they come; an empty table gives no rows."""
@@ -194,5 +273,6 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """Pipeline stage: the packed pieces of all documents."""
+    """Pipeline stage: the packed pieces of all documents. Null and empty texts are one piece; repeated rows are packed as
+    they come; other columns than doc_id and text are not read."""
     return pack(durable(pieces(docs), "pieces-stage"))
