@@ -60,40 +60,36 @@ def matcher(notices=NOTICES):
     for s, v in at.items():
         auto.add_word(s, (len(s), v))
     auto.make_automaton()
-    patterns = [regex.compile(rf"(?b)(?:{regex.escape(t)}){{e<={k}}}") for t, _, k in notices]
+    patterns = [regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(t)}){{e<={k}}}(?![^ ])") for t, _, k in notices]
     return auto, patterns
 
 
-def fuzzy(clean: str, notices=NOTICES) -> list[tuple[str, int, int, int]]:
-    """(label, begin, end, edits) of the notices in normalised text, at word bounds.
+def fuzzy(clean: str, notices=NOTICES) -> list[tuple[str, int, int, int, int]]:
+    """(label, begin, end, edits, notice) of the notices in normalised text, at word bounds.
 
-    A candidate's window reaches k characters past where the seed puts the notice's ends, so it
-    holds any match that the seed can be part of; overlapping windows of a notice are merged."""
+    A candidate's window reaches k characters past where the seed puts the notice's ends, and on to the
+    next word bound, so it holds any match that the seed can be part of; overlapping windows of a notice are merged."""
     auto, patterns = matcher(notices)
     windows: dict[int, list[list[int]]] = {}
     for last, (n, places) in auto.iter(clean):
         for i, a in places:
             text, _, k = notices[i]
             lo, hi = last + 1 - n - a - k, last + 1 - n - a + len(text) + k
+            lo = clean.rfind(" ", 0, max(0, lo)) + 1
+            hi = clean.find(" ", hi) if clean.find(" ", hi) >= 0 else len(clean)
             own = windows.setdefault(i, [])
             if own and lo <= own[-1][1]:
                 own[-1][1] = max(own[-1][1], hi)
-                own[-1][2] += 1
             else:
-                own.append([lo, hi, 1])
+                own.append([lo, hi])
     out = []
     for i, own in windows.items():
-        text, label, k = notices[i]
-        for lo, hi, _ in own:
-            base = max(0, lo)
-            for m in patterns[i].finditer(clean, base, max(base, hi)):
+        for lo, hi in own:
+            for m in patterns[i].finditer(clean, lo, hi):
                 b, e = m.span()
-                while b < e and clean[b] == " ":
-                    b += 1
-                while e > b and clean[e - 1] == " ":
-                    e -= 1
-                if (b == 0 or clean[b - 1] == " ") and (e == len(clean) or clean[e] == " "):
-                    out.append((label, b, e, sum(m.fuzzy_counts)))
+                b, e = b + len(m[0]) - len(m[0].lstrip(" ")), e - len(m[0]) + len(m[0].rstrip(" "))
+                if b < e:
+                    out.append((notices[i][1], b, e, sum(m.fuzzy_counts), i))
     return out
 
 
@@ -110,10 +106,9 @@ def scan(text: str | None, notices=NOTICES) -> tuple:
                 spans.append((label, m.start(), m.end(), 0))
     found = fuzzy(clean, notices)
     labels = base | {f[0] for f in found}
-    longest = {label: max(len(t) for t, x, _ in notices if x == label) for label in {f[0] for f in found}}
-    score = 1.0 if base else max((1 - f[3] / longest[f[0]] for f in found), default=0.0)
+    score = 1.0 if base else max((1 - f[3] / len(notices[f[4]][0]) for f in found), default=0.0)
     join = lambda s: ",".join(sorted(s))
-    return len(ws), len(starts), min(starts, default=None), max(starts, default=None), join(base), join(labels), score, spans + found
+    return len(ws), len(starts), min(starts, default=None), max(starts, default=None), join(base), join(labels), score, spans + [f[:4] for f in found]
 
 
 SCHEMA = (
