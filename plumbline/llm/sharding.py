@@ -65,11 +65,12 @@ def shard(rows: DataFrame, key: Column, tie: Column, shards: int = 16, epsilon:
 
     With ``epsilon`` 0 the shards' row counts differ by one at most; a larger one lets a shard hold
     that share above the mean and moves fewer keys. Rows are ranked within an arc by cells of
-    a second hash, so equal keys, be they a third of all rows, are dealt to CELLS tasks or more."""
+    a second hash, which a row number feeds too, so equal keys, be they a third of all rows and equal in ``tie``
+    as well, are dealt to CELLS tasks or more."""
     spark = rows.sparkSession
     cols = rows.columns
     arc = F.pmod(F.xxhash64(key), F.lit(ARCS)).cast("int")
-    cell = F.pmod(F.xxhash64(tie, F.lit(7)), F.lit(CELLS)).cast("int")
+    cell = F.pmod(F.xxhash64(tie, F.monotonically_increasing_id()), F.lit(CELLS)).cast("int")
     placed = durable(rows.withColumns({"_arc": arc, "_cell": cell, "_tie": F.xxhash64(tie)}), "ring")
     cells = placed.groupBy("_arc", "_cell").count()  # ARCS * CELLS rows at most
     loads = [0] * ARCS
@@ -98,8 +99,8 @@ def shard(rows: DataFrame, key: Column, tie: Column, shards: int = 16, epsilon:
     cut = cut.select("_arc", "_cell", "_shard", (F.col("_lo") - F.col("_before")).alias("_lo"), (F.col("_hi") - F.col("_before")).alias("_hi"), first.alias("_first"))
     cut = cut.groupBy("_arc", "_cell").agg(F.collect_list(F.struct("_lo", "_hi", "_shard", "_first")).alias("_cuts"))  # at most `shards` each
     rank = F.row_number().over(W.partitionBy("_arc", "_cell").orderBy("_tie", *cols)) - 1
-    # The right side has ARCS * CELLS rows whatever the input's size, some 30 MB.
-    out = placed.withColumn("_rank", rank).join(F.broadcast(cut), ["_arc", "_cell"])
+    # The rows already lie by arc and cell for their ranks; the other side comes to them.
+    out = placed.withColumn("_rank", rank).join(cut.hint("merge"), ["_arc", "_cell"])
     out = out.withColumn("_cut", F.filter("_cuts", lambda c: (c["_lo"] <= F.col("_rank")) & (F.col("_rank") < c["_hi"]))[0])
     return out.select(*cols, F.col("_cut._shard").alias("shard"), (F.col("_cut._first") + F.col("_rank") - F.col("_cut._lo")).cast("long").alias("slot"))
 
