@@ -64,6 +64,11 @@ def release(*stored: DataFrame) -> None:
         delete(df.sparkSession, df.stored_at)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 def id_hash(col: str | Column = "doc_id") -> Column:
     """crc32 of the id as text; 0 for a null id."""
     c = F.col(col) if isinstance(col, str) else col

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); the root is the smallest node.
 
-    Each step only aggregates and joins, so no node's neighbours meet in a task; the number of steps
-    is about the logarithm of the largest component. Null ends and loops are left out."""
+    Each step aggregates with partial sums and joins; the joins on a node with very many neighbours are what
+    adaptive execution splits. The number of steps is about the logarithm of the largest component; what a step has read
+    is deleted. Null ends and loops are left out."""
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     e = durable(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
@@ -22,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        last, e = e, durable(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        release(last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == (now.n, now.h):
             break

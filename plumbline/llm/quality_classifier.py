@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, id_hash, table
+from .common import durable, id_hash, table, whole_row
 from .textstats import with_stats
 
 FEATURES = 12
@@ -128,7 +128,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents scored 0.5 or more, with their own columns only.
 
-    It learns from the labelled documents among its input; without any, nothing is rejected."""
-    wide = docs.select(F.struct(*docs.columns).alias("doc"), "text", "doc_id")
+    It learns from the labelled documents among its input; without any, nothing is rejected. Null and empty texts are
+    scored like others; rows with a null id are never labelled; repeated rows get one score."""
+    wide = docs.select(whole_row(docs).alias("doc"), "text", "doc_id")
     feats = durable(features(wide).select("doc", "doc_id", "x"), "op1-stage")
     return score(feats, train(feats, table(spark, sf_dir, "labels"))).where("score >= 0.5").select("doc.*")

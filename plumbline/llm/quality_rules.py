@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, table, whole_row
 from .textstats import CLASSES, with_stats
 
 #: Frequent function words of each language reference.
@@ -126,7 +126,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """Pipeline stage: the documents the rules keep, with their own columns only.
 
-    The counts are stored beside the row's columns once, so that texts are scanned once."""
-    wide = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"), F.col("lang"))
+    The counts are stored beside the row's columns once, so that texts are scanned once. Null and empty texts go, as they
+    have no words; a null language only leaves the references unchanged; repeated rows are judged alike."""
+    wide = docs.select(whole_row(docs).alias("doc"), F.col("text"), F.col("lang"))
     slim = durable(quality_counts(wide).select("doc", "lang", *_SLIM), "op7-stage")
     return judge(slim, references(slim)).where("kept").select("doc.*")
