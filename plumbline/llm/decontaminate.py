@@ -4,7 +4,8 @@ Benchmark passages are searched by windows of WINDOW bytes that start every STEP
 the same content are one. A window of m bytes that occurs in a text with at most k edits shares at
 least m - q + 1 - k * q of its q-grams with it, and all of them lie on neighbouring diagonals. Shared
 q-grams are counted in overlapping diagonal bands; bands that meet the bound for
-k = m * RATE are merged where they touch and verified by one alignment within m * BUDGET edits. A
+k = m * RATE are merged where they touch, checked once more by short q-grams (FINE_RATE), and verified by
+one alignment within m * BUDGET edits. A
 replaced word of n letters costs up to n edits but only n + q - 1 q-grams, so the bound also lets
 through two of them in any window.
 
@@ -26,6 +27,8 @@ from .common import table
 from .license_scan import _CLEAN
 
 WINDOW, STEP, RATE, BUDGET, LEAST = 80, 20, 0.1, 0.2, 32
+#: q and edits of the bound that is checked before an alignment; two replaced words within BUDGET meet it too.
+FINE_Q, FINE_RATE = 4, 0.14
 #: q of passages of SHORT bytes or more, and of shorter ones, whose bound needs shorter q-grams.
 Q, SHORT_Q, SHORT = 8, 6, 64
 #: Bytes of benchmark text whose index is held at once; more come in further blocks, READY of which a worker keeps.
@@ -130,9 +133,20 @@ class _Grams:
         self.last = np.r_[self.first[1:], len(code)]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[code >> np.uint64(42)] = True
+        # The same by groups of windows that share an owner: most texts hold too few q-grams of any one to go on.
+        group = {o: i for i, o in enumerate(dict.fromkeys(x[0] for x in self.owners))}
+        self.group = np.array([group[o[0]] for o in self.owners], np.int64)
+        slot = np.repeat(np.arange(len(self.code)), self.last - self.first)
+        pairs = np.unique(slot * max(1, len(group)) + self.group[self.own])
+        self.g_slot, self.g_own = pairs // max(1, len(group)), pairs % max(1, len(group))
+        self.g_first = np.searchsorted(self.g_slot, np.arange(len(self.code) + 1))
         self.budget = (size * BUDGET).astype(np.int64)
         self.need = np.maximum(1, size - q + 1 - (size * RATE).astype(np.int64) * q)
+        self.least = np.full(max(1, len(group)), 2**30)
+        np.minimum.at(self.least, self.group, self.need)
         self.width = 2 * self.budget + 1
+        self.fine = [np.unique(grams(w, FINE_Q)) for w in self.windows]
+        self.fine_need = size - FINE_Q + 1 - FINE_Q * (size * FINE_RATE).astype(np.int64)
 
     def bands(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(window, band) of every band that meets its window's bound, sorted. Shared q-grams are counted a bounded number at
@@ -147,6 +161,21 @@ class _Grams:
         at, slot = at[ok], slot[ok]
         if not len(at):
             return none
+        if len(self.code) < 100 * len(slot):
+            mark = np.zeros(len(self.code), bool)
+            mark[slot] = True
+            seen = np.flatnonzero(mark)
+        else:
+            seen = np.unique(slot)
+        n = self.g_first[seen + 1] - self.g_first[seen]
+        of = np.repeat(np.arange(len(seen)), n)
+        own = self.g_own[self.g_first[seen][of] + np.arange(len(of)) - (np.cumsum(n) - n)[of]]
+        alive = np.bincount(own, minlength=len(self.least)) >= self.least
+        if not alive.any():
+            return none
+        live = np.bincount(of[alive[own]], minlength=len(seen)) > 0
+        keep = live[np.searchsorted(seen, slot)]
+        at, slot = at[keep], slot[keep]
         n = self.last[slot] - self.first[slot]
         ends = np.cumsum(n)
         span = len(text) // int(self.width.min()) + 8
@@ -157,8 +186,11 @@ class _Grams:
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HITS, "right")))
             m = n[lo:hi]
             entry = np.repeat(self.first[slot[lo:hi]] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            own = self.own[entry]
-            band = (np.repeat(at[lo:hi], m) - self.place[entry]) // self.width[own] + 5  # from 1 on
+            own, text_at = self.own[entry], np.repeat(at[lo:hi], m)
+            if lo == 0 and hi == len(at):  # of the other windows nothing can come
+                ok = alive[self.group[own]]
+                own, entry, text_at = own[ok], entry[ok], text_at[ok]
+            band = (text_at - self.place[entry]) // self.width[own] + 5  # from 1 on
             # Overlapping bands: each is two widths wide and starts a width after the one before.
             key = np.r_[own * span + band, own * span + band - 1]
             if dense is not None:
@@ -185,7 +217,12 @@ class _Grams:
             for i, j in zip(cut, np.r_[cut[1:], len(own)] - 1, strict=True):
                 w, k, width = self.windows[own[i]], int(self.budget[own[i]]), int(self.width[own[i]])
                 lo, hi = max(0, int(band[i]) * width - k), (int(band[j]) + 2) * width + len(w) + k
-                pairs.append((w, text[lo:hi], k))
+                # Before the alignment the bound for FINE_RATE on short q-grams, whose duplicates in the window count once.
+                fine, region = self.fine[own[i]], text[lo:hi]
+                lost = len(w) - FINE_Q + 1 - len(fine)
+                if np.isin(fine, grams(region, FINE_Q), kind="sort").sum() < self.fine_need[own[i]] - lost:
+                    continue
+                pairs.append((w, region, k))
                 at.append((t, int(own[i]), lo))
         out: list[list] = [[] for _ in texts]
         for (t, w, lo), found in zip(at, align(pairs), strict=True):
