@@ -2,10 +2,10 @@
 
 Texts become token ids once. Pieces go to partitions by hash, to several even where one would hold
 them; each partition packs by best-fit decreasing, and dual feasible functions give a lower bound on
-its bins, in whole numbers. A partition at its bound is certified and final. One with a gap refills its
-loosest bins by subset sums and by trial; if a gap is left, it gives the documents of these bins to a pool, which
-is dealt to fewer partitions (so that documents of different partitions meet) and packed again. The
-last partition is packed in both ways and keeps the better one. ``certificate`` tells what gap is left.
+its bins, in whole numbers. A partition at its bound is certified: all but its TAIL loosest bins are final. One with
+a gap refills its loosest bins by subset sums and by trial; if a gap is left, it gives the documents of many more
+bins to the pool, which is dealt to fewer partitions (so that documents of different partitions meet) and packed
+again, until one partition is left. ``certificate`` tells what gap there is in the end.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import durable, table
 
 CAPACITY, END = 1024, 2
 VOCABULARY = "byte_bpe_50k.json"
+#: Bins that even a partition at its bound gives away: what is loose in several of them fits together.
+TAIL = 24
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -221,8 +223,8 @@ def _pack(capacity: int, round_: int, last: bool, loose: int):
         n = pdf["length"].to_numpy()
         place, offset, room, gap = fill(n, capacity, loose)
         free = np.zeros(len(room), bool)
-        if gap and not last:
-            free[np.argsort(-room, kind="stable")[:loose]] = True
+        if not last:
+            free[np.argsort(-room, kind="stable")[: loose if gap else TAIL]] = True
             free &= room > 0
         base = (round_ * 2**31 + int(pdf["part"].iloc[0])) * 2**24
         return pdf.drop(columns="part").assign(sequence_id=np.where(free[place], -1, base + place), offset=offset)
@@ -234,7 +236,7 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, target: int = 60_000, lo
     """Adds ``sequence_id`` and ``offset`` to items that have ``length`` (1 to ``capacity``).
 
     ``target`` is the number of items a partition holds, which bounds the memory of a task; there are ``least`` partitions
-    at first. A partition with a gap releases ``loose`` bins at most, so the pool of the next round
+    at first. A partition with a gap releases ``loose`` bins at most, any other TAIL, so the pool of the next round
     is a fraction of this one's, until one partition holds it. Items of full length fill a sequence alone and take
     no part in the search. ``items`` is read more than once: a stored table."""
     schema = items.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", sequence_id long, offset long"

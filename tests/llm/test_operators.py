@@ -86,7 +86,7 @@ def test_odd_rows_of_licenses_and_rules(got):
         assert s.loc[i][["n_words", "n_base", "base_labels", "labels", "score"]].tolist() == [0, 0, "", "", 0.0] and s.loc[i].first_word != s.loc[i].first_word
     r = got(7).set_index("doc_id")
     assert r.loc[[4, 5, 8]].base_failed.all() and not r.loc[[4, 5, 8]].kept.any() and r.loc[6].base_failed.all()
-    assert r.loc[1].n_words == 52 and r.loc[1].n_repeat_words == 0 and not r.loc[1].base_failed and r.loc[1].kept == r.loc[2].kept
+    assert r.loc[1].n_words == 54 and r.loc[1].n_repeat_words == 0 and not r.loc[1].base_failed and r.loc[1].kept == r.loc[2].kept
 
 
 def test_odd_rows_of_packing_and_sharding(got, spark, odd):
@@ -452,6 +452,7 @@ def test_partitions_with_a_gap_exchange_documents(spark):
     items = spark.createDataFrame([(int(i), int(n)) for i, n in enumerate(sizes)], "id long, length long")
     out = packing.pack(items, target=10).toPandas()
     assert out.sequence_id.nunique() == 40 and len(out) == 80
+    assert (out.sequence_id >= 2**55).any()  # some were packed in a later round
     copies = spark.createDataFrame([(1, 500)] * 4000, "id long, length long")  # repeated rows are dealt apart
     assert packing.pack(copies, target=500).select("sequence_id").distinct().count() == 2000
 
@@ -741,7 +742,8 @@ def test_stages_on_odd_tables(spark, odd, rows):
     if rows == "none":
         assert not any(kept.values()) and packed.count() == 0
         return
-    assert not {4, 5, 6, 8} & set(kept["quality_rules"]) and {1, 2} <= set(kept["quality_rules"])
+    rules = kept["quality_rules"]  # the long text outweighs the others in the reference, so plain ones may go: all or none
+    assert not {4, 5, 6, 8} & set(rules) and (1 in rules) == (2 in rules) == (None in rules)
     # One of the plain texts, their variant is under the limit or gone, one of the empty ones, one of the long ones.
     near = kept["simhash_near_dedup"]
     assert near.count(6) == 1 and 1 in near and not {2, None} & set(near) and len({4, 5, 8} & set(near)) == 1
