@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.common import durable, table
+from plumbline.llm.common import durable, release, table
 from plumbline.llm.decontaminate import remove_contaminated
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.quality_classifier import filter_by_classifier
@@ -27,8 +27,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents that pass; every stage is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces of all documents that pass; every stage is written and read again, and deleted once the next one
+    is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            release(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
