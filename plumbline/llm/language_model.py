@@ -20,15 +20,16 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, durable, id_hash, release, table
+from .common import durable, id_hash, release, table
 
 END = b""
 SHORT, COMPANIES, GROUP, CLASSES, KINDS, COMMON = 1000, 8, 96, 16, 2048, 48
@@ -37,14 +38,28 @@ HIDDEN, EMBED, WINDOW, STREAMS = 16, 12, 16, 256
 BLOCK_BYTES = 24_000_000
 #: Bytes of symbols (two a token) that are trained on or scored at once.
 TRAIN_BYTES, SCORE_BYTES = 5_000_000, 3_000_000
+#: Rows of a softmax that are worked on at once (a matter of caches only).
+ROWS = 1024
 #: Passes over the block of the first round, which starts from counts alone, and the steps of Adam.
 FIRST_PASSES, FIRST_RATE, RATE = 3, 0.01, 0.003
 
 
-def tokens(text: str | None) -> list[bytes]:
-    ws = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split() if isinstance(text, str) else []
-    ws.append(END)
-    return ws
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Ids of all tokens of texts without nulls, how many each has, and the dictionary that the ids are places in.
+
+    Arrow's ASCII functions lower-case A-Z and split at U+0009 to U+000D and space only, whatever else a text holds."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = pa.concat_arrays([lists.flatten(), pa.array([""], texts.type)])  # the last is the end; others that are empty stand at a text's edges
+    coded = flat.dictionary_encode()
+    ids = coded.indices.to_numpy()
+    word, end = ids[:-1] != ids[-1], ids[-1]
+    upto = np.r_[0, np.cumsum(word)][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]]
+    length = np.diff(upto) + 1
+    out = np.full(length.sum(), end, np.int32)
+    own = np.ones(len(out), bool)
+    own[np.cumsum(length) - 1] = False
+    out[own] = ids[:-1][word]
+    return out, length, coded.dictionary.cast(pa.binary())
 
 
 def kind(token: Column) -> Column:
@@ -63,6 +78,16 @@ def squash(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def by_gate(w: np.ndarray) -> np.ndarray:
+    """(n, 3 * HIDDEN) to (3, n, HIDDEN): each gate's values lie together, which is what makes the small steps cheap."""
+    return np.ascontiguousarray(w.reshape(len(w), 3, -1).transpose(1, 0, 2))
+
+
+def all_gates(w: np.ndarray) -> np.ndarray:
+    """The inverse of ``by_gate``."""
+    return np.ascontiguousarray(w.transpose(1, 0, 2)).reshape(w.shape[1], -1)
+
+
 class Model:
     """Classes and weights; pickled to the executors (some 300 KB).
 
@@ -77,6 +102,8 @@ class Model:
         for g in self.groups:
             slot[g] = np.arange(len(g))
         self.slot = slot
+        self.members = order
+        self.edges = np.r_[0, np.cumsum([len(g) for g in self.groups])].tolist()
         self.n_class = self.n_group + CLASSES
         self.class_of = np.r_[short_class, self.n_group + np.arange(CLASSES)].astype(np.int16)
         rng = np.random.default_rng(0)
@@ -126,72 +153,101 @@ class Model:
             a[to] = v
         return (*out, active, to, np.array(order), length)
 
+    def gates(self) -> np.ndarray:
+        """What each input symbol adds to the three gates: (3, symbols, HIDDEN)."""
+        return by_gate(self.p["E"] @ self.p["Wx"] + self.p["bx"])
+
     def run(self, x: np.ndarray, first: np.ndarray, active: np.ndarray, h: np.ndarray, gates: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States after each input of consecutive steps, and the last one."""
-        k, u = HIDDEN, self.p["U"]
-        gx = np.take(gates, x, axis=0)
+        k, u = HIDDEN, by_gate(self.p["U"])
+        gx = np.take(gates, x, axis=1)
         out = np.empty((len(x), k), np.float32)
+        off = np.r_[0, np.cumsum(active)]
+        begins = np.flatnonzero(first)
+        upto = np.searchsorted(begins, off).tolist()
+        off = off.tolist()
         if keep is not None:
-            keep.update({n: np.empty((len(x), k), np.float32) for n in "bc"}, g=np.empty((len(x), 3 * k), np.float32), s=np.empty((len(x), 2 * k), np.float32))
-        at = 0
-        for n in active:
-            end = at + n
-            h = h[:n]
-            if (new := np.flatnonzero(first[at:end])).size:
+            keep.update({n: np.empty((len(x), k), np.float32) for n in "bcg"}, s=np.empty((2, len(x), k), np.float32), o=np.empty((2, len(x), k), np.float32), begins=begins, upto=upto, off=off)
+        for t in range(len(active)):
+            at, end = off[t], off[t + 1]
+            h = h[: end - at]
+            if upto[t] < upto[t + 1]:
                 h = h.copy()
-                h[new] = 0
-            g = np.matmul(h, u, out=None if keep is None else keep["g"][at:end])
-            s = squash(gx[at:end, : 2 * k] + g[:, : 2 * k])
-            rz = (s + 1) * np.float32(0.5)
-            c = squash(gx[at:end, 2 * k :] + rz[:, :k] * g[:, 2 * k :])
+                h[begins[upto[t] : upto[t + 1]] - at] = 0
+            g = np.matmul(h, u)
+            s = squash(np.add(gx[:2, at:end], g[:2], out=None if keep is None else keep["s"][:, at:end]))
+            rz = np.add(s, 1, out=None if keep is None else keep["o"][:, at:end])
+            rz *= np.float32(0.5)
+            c = np.multiply(rz[0], g[2], out=None if keep is None else keep["c"][at:end])
+            c += gx[2, at:end]
+            squash(c)
             if keep is not None:
-                keep["b"][at:end], keep["c"][at:end], keep["s"][at:end] = h, c, s
-            h = np.add(c, rz[:, k:] * (h - c), out=out[at:end])
-            at = end
+                keep["b"][at:end], keep["g"][at:end] = h, g[2]
+            d = h - c
+            d *= rz[1]
+            h = np.add(c, d, out=out[at:end])
         return out, h
 
     def log_probs(self, hs: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of P(class) and of the softmax within short-list classes, for flat targets."""
-        p = self.p
-        cls = self.class_of[ids]
-        lp, dh = self._softmax(hs, p["Wc"], p["bc"], cls, grads, "Wc", "bc")
+        p, n, k = self.p, len(hs), HIDDEN
+        cls = np.take(self.class_of, ids)
         order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.n_group + 1))
-        lo, hi = bounds[0], bounds[-1]
-        x, slot, part = hs[order[lo:hi]], self.slot[ids[order[lo:hi]]], np.zeros(hi - lo, np.float32)
-        d = np.zeros_like(x)
-        if grads is not None:
-            grads["Ws"], grads["bs"] = np.zeros_like(p["Ws"]), np.zeros_like(p["bs"])
-        for c, g in enumerate(self.groups):
-            a, b = bounds[c] - lo, bounds[c + 1] - lo
-            if a == b or len(g) < 2:
+        cls = np.take(cls, order)
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        bounds = np.searchsorted(cls, np.arange(self.n_group + 1)).tolist()
+        x = np.ones((n, k + 1), np.float32)  # biases are weights of a last input of ones
+        x[:, :k] = np.take(hs, order, axis=0)
+        slot = np.take(self.slot, np.take(ids, order[: bounds[-1]]))
+        wc, ws = np.r_[p["Wc"], p["bc"][None]], np.r_[p["Ws"].T, p["bs"][None]][:, self.members]
+        shift = any((np.abs(w[:-1]).sum(0) + np.abs(w[-1])).max(initial=0) > 60 for w in (wc, ws))  # states are below 1, so this bounds all logits
+        slopes = grads is not None
+        gc, gs = np.zeros_like(wc), np.zeros_like(ws)
+        lp, d = np.empty(n, np.float32), np.empty((n, k), np.float32) if slopes else None
+        for lo in range(0, n, ROWS):
+            hi = min(n, lo + ROWS)
+            lp[lo:hi], dx, dw = self._softmax(x[lo:hi], wc, cls[lo:hi], shift, slopes)
+            if slopes:
+                d[lo:hi] = dx
+                gc += dw
+        for c, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            i, j = self.edges[c], self.edges[c + 1]
+            if j - i < 2:
                 continue
-            own: dict | None = None if grads is None else {}
-            part[a:b], dx = self._softmax(x[a:b], np.ascontiguousarray(p["Ws"][g].T), p["bs"][g], slot[a:b], own, "W", "b")
-            if own is not None:
-                grads["Ws"][g], grads["bs"][g], d[a:b] = own["W"].T, own["b"], dx
-        lp[order[lo:hi]] += part
-        if dh is not None:
-            dh[order[lo:hi]] += d
-        return lp, dh
+            for lo in range(a, b, ROWS):
+                hi = min(b, lo + ROWS)
+                part, dx, dw = self._softmax(x[lo:hi], ws[:, i:j], slot[lo:hi], shift, slopes)
+                lp[lo:hi] += part
+                if slopes:
+                    d[lo:hi] += dx
+                    gs[:, i:j] += dw
+        if not slopes:
+            return np.take(lp, back), None
+        grads["Wc"], grads["bc"] = gc[:-1], gc[-1]
+        grads["Ws"], grads["bs"] = np.empty_like(p["Ws"]), np.empty_like(p["bs"])
+        grads["Ws"][self.members], grads["bs"][self.members] = gs[:-1].T, gs[-1]
+        return np.take(lp, back), np.take(d, back, axis=0)
 
     @staticmethod
-    def _softmax(x, w, b, target, grads, wn, bn):
+    def _softmax(x, w, target, shift, slopes):
+        """Log probabilities of the targets, and if asked for, their negated slopes by inputs and by weights."""
         z = x @ w
-        z += b
-        if np.abs(w).sum(0).max(initial=0) + np.abs(b).max(initial=0) > 60:  # states are below 1, so this bounds z
+        if shift:
             z -= z.max(1, keepdims=True)
         at = np.arange(len(x))
         lp = z[at, target]
         e = np.exp(z, out=z)
-        s = e @ np.ones(e.shape[1], np.float32)
+        s = e @ np.ones(w.shape[1], np.float32)
         lp -= np.log(s)
-        if grads is None:
-            return lp, None
-        e *= (1 / s)[:, None]
-        e[at, target] -= 1
-        grads[wn], grads[bn] = x.T @ e, np.ones(len(x), np.float32) @ e
-        return lp, e @ w.T
+        if not slopes:
+            return lp, None, None
+        inv, wt = (1 / s)[:, None], np.ascontiguousarray(w[:-1].T)
+        dx = e @ wt
+        dx *= inv
+        dx -= np.take(wt, target, axis=0)
+        e[at, target] -= s
+        return lp, dx, (x * inv).T @ e
 
     def train(self, docs: list[np.ndarray], rate: float) -> None:
         """One pass by Adam; the state is carried over whole documents, gradients over WINDOW steps."""
@@ -206,34 +262,43 @@ class Model:
         for step, lo in enumerate(range(0, len(active), WINDOW), 1):
             hi = min(len(active), lo + WINDOW)
             a, b = off[lo], off[hi]
-            xs, new, keep, g = x[a:b], first[a:b], {}, {}
-            hs, h = self.run(xs, new, active[lo:hi], h, p["E"] @ p["Wx"] + p["bx"], keep)
+            xs, keep, g = x[a:b], {}, {}
+            hs, h = self.run(xs, first[a:b], active[lo:hi], h, self.gates(), keep)
             _, dh_all = self.log_probs(hs, y[a:b], g)
-            before, c, s, ghn = keep["b"], keep["c"], keep["s"], keep["g"][:, 2 * k :]
-            slope = np.float32(0.5) * (1 - np.abs(s)) ** 2
-            rz = (s + 1) * np.float32(0.5)
-            to_c, to_z, to_r = (1 - rz[:, k:]) * (1 - np.abs(c)) ** 2, (before - c) * slope[:, k:], ghn * slope[:, :k]
-            r, z, ut = rz[:, :k], rz[:, k:], np.ascontiguousarray(p["U"].T)
-            dgh, dcs = np.empty((b - a, 3 * k), np.float32), np.empty((b - a, k), np.float32)
-            back = np.zeros((0, k), np.float32)
-            for t in range(hi - 1, lo - 1, -1):
-                i, j = off[t] - a, off[t + 1] - a
+            before, c, (r, z) = keep["b"], keep["c"], keep["o"]
+            slope = np.subtract(1, np.abs(keep["s"]), out=keep["s"])
+            slope *= slope
+            slope *= np.float32(0.5)
+            to_r, to_z = np.multiply(keep["g"], slope[0], out=keep["g"]), before - c
+            to_z *= slope[1]
+            to_c = 1 - np.abs(c)
+            to_c *= to_c
+            to_c *= 1 - z
+            ut = np.ascontiguousarray(by_gate(p["U"]).transpose(0, 2, 1))
+            dgh, dcs = np.empty((3, b - a, k), np.float32), np.empty((b - a, k), np.float32)
+            back, begins, upto, at = np.zeros((0, k), np.float32), keep["begins"], keep["upto"], keep["off"]
+            for t in range(hi - lo - 1, -1, -1):
+                i, j = at[t], at[t + 1]
                 dh = dh_all[i:j]
                 dh[: len(back)] += back
                 dc = np.multiply(dh, to_c[i:j], out=dcs[i:j])
-                np.multiply(dc, to_r[i:j], out=dgh[i:j, :k])
-                np.multiply(dh, to_z[i:j], out=dgh[i:j, k : 2 * k])
-                np.multiply(dc, r[i:j], out=dgh[i:j, 2 * k :])
-                back = dgh[i:j] @ ut
+                np.multiply(dc, to_r[i:j], out=dgh[0, i:j])
+                np.multiply(dh, to_z[i:j], out=dgh[1, i:j])
+                np.multiply(dc, r[i:j], out=dgh[2, i:j])
+                back, more, last = np.matmul(dgh[:, i:j], ut)
+                back += more
+                back += last
                 back += dh * z[i:j]
-                if (at := np.flatnonzero(new[i:j])).size:
-                    back[at] = 0
-            g["U"] = before.T @ dgh
+                if upto[t] < upto[t + 1]:
+                    back[begins[upto[t] : upto[t + 1]] - i] = 0
+            g["U"] = all_gates((dgh.transpose(0, 2, 1) @ before).transpose(0, 2, 1))
             dgx = dgh
-            dgx[:, 2 * k :] = dcs
-            dx = dgx @ p["Wx"].T
+            dgx[2] = dcs
+            dx, more, last = np.matmul(dgx, np.ascontiguousarray(by_gate(p["Wx"]).transpose(0, 2, 1)))
+            dx += more
+            dx += last
             g["E"] = np.bincount((xs[:, None] * EMBED + column).ravel(), weights=dx.ravel(), minlength=p["E"].size).reshape(p["E"].shape).astype(np.float32)
-            g["Wx"], g["bx"] = np.take(p["E"], xs, axis=0).T @ dgx, np.ones(len(xs), np.float32) @ dgx
+            g["Wx"], g["bx"] = all_gates(np.take(p["E"], xs, axis=0).T @ dgx), (np.ones(len(xs), np.float32) @ dgx).ravel()
             scale = np.float32(1 / len(xs))
             for name, dw in g.items():
                 dw = np.clip(dw * scale, -1, 1)
@@ -246,7 +311,7 @@ class Model:
         if not docs:
             return np.zeros(0)
         x, y, first, active, place, order, length = self.lay(docs, streams)
-        gates, got = self.p["E"] @ self.p["Wx"] + self.p["bx"], np.empty(len(y), np.float32)
+        gates, got = self.gates(), np.empty(len(y), np.float32)
         off = np.r_[0, np.cumsum(active)]
         h, lo = np.zeros((active[0], HIDDEN), np.float32), 0
         while lo < len(active):
@@ -319,6 +384,23 @@ def _chunks(batches, columns: list[str], size: int):
         yield rows
 
 
+def _blocks(batches, size: int):
+    """Record batches put together and cut after the row with which their texts reach ``size`` characters."""
+    parts, n = [], 0
+    for b in batches:
+        upto, base, at = np.cumsum(pc.utf8_length(b.column("text")).to_numpy().astype(np.int64)), 0, 0
+        while at < len(upto):
+            cut = int(np.searchsorted(upto, base + size - n)) + 1
+            parts.append(b.slice(at, cut - at))
+            if cut > len(upto):
+                n += int(upto[-1]) - base
+                break
+            yield pa.Table.from_batches(parts).combine_chunks()
+            parts, n, base, at = [], 0, int(upto[cut - 1]), cut
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks()
+
+
 def _symbols(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint16)
 
@@ -354,22 +436,28 @@ def score_texts(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTE
     def index(batches):
         """Rows of texts as ids of their block's dictionary, and rows of that dictionary."""
         task = TaskContext.get().partitionId() * 2**24
-        for k, rows in enumerate(_chunks(batches, ["doc_id", "held_out", "text"], block_bytes)):
-            known: defaultdict = defaultdict()
-            known.default_factory = known.__len__
-            ids = [np.fromiter(map(known.__getitem__, tokens(t)), np.int32) for _, _, t in rows]
-            taught = [i for r, i in zip(rows, ids, strict=True) if not r[1]]
-            n = np.bincount(np.concatenate(taught), minlength=len(known)) if taught else np.zeros(len(known), np.int64)
-            words = list(known)
-            for lo in range(0, len(words), 100_000):
-                part = words[lo : lo + 100_000]
-                yield pd.DataFrame({"block": task + k, "doc_id": None, "held_out": None, "ids": None, "token": part, "local": np.arange(lo, lo + len(part)), "n": n[lo : lo + len(part)]})
-            for lo in range(0, len(rows), 1000):
-                d, h, _ = zip(*rows[lo : lo + 1000], strict=True)
-                yield pd.DataFrame({"block": task + k, "doc_id": d, "held_out": h, "ids": [i.tobytes() for i in ids[lo : lo + 1000]], "token": None, "local": None, "n": None})
+        for k, rows in enumerate(_blocks(batches, block_bytes)):
+            doc_id, held, text = (pa.concat_arrays(c.chunks) for c in rows.select(["doc_id", "held_out", "text"]).columns)
+            ids, length, known = tokens(text)
+            taught = ids[np.repeat(~held.fill_null(False).to_numpy(zero_copy_only=False), length)]
+            n = np.bincount(taught, minlength=len(known))
+            for lo in range(0, len(known), 100_000):
+                hi = min(len(known), lo + 100_000)
+                yield batch(hi - lo, block=np.full(hi - lo, task + k), token=known[lo:hi], local=np.arange(lo, hi, dtype=np.int32), n=n[lo:hi])
+            upto = np.r_[0, np.cumsum(length)]
+            for lo in range(0, len(doc_id), 1000):
+                hi = min(len(doc_id), lo + 1000)
+                at = (upto[lo : hi + 1] - upto[lo]) * 4
+                data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids[upto[lo] : upto[hi]])])
+                yield batch(hi - lo, block=np.full(hi - lo, task + k), doc_id=doc_id[lo:hi], held_out=held[lo:hi], ids=data)
+
+    types = pa.schema([("block", pa.int64()), ("doc_id", pa.string()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("token", pa.binary()), ("local", pa.int32()), ("n", pa.int64())])
+
+    def batch(size, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in types], schema=types)
 
     schema = "block long, doc_id string, held_out boolean, ids binary, token binary, local int, n long"
-    indexed = durable(docs.mapInPandas(index, schema), "indexed")
+    indexed = durable(docs.mapInArrow(index, schema), "indexed")
     words = indexed.where("token IS NOT NULL")
     total = words.groupBy("token").agg(F.sum("n").alias("c")).where("c > 0")
     total = durable(total.withColumn("kind", kind(F.col("token"))), "total")

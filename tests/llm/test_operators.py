@@ -264,6 +264,29 @@ def test_gradients_through_time():
             assert (out[0] - out[1]) / 2e-2 == pytest.approx(grads[name][at], abs=2e-2), name
 
 
+def test_language_model_tokens_and_blocks():
+    """Arrow's split against a regular expression on odd characters; blocks end after the row that fills them."""
+    pa, r = language_model.pa, random.Random(5)
+    for _ in range(100):
+        texts = ["".join(r.choice("aAbZ \t\n\x0b\x0c\r\x1c\x85\u00a0\u3000\u00e9\u0130\x00") for _ in range(r.randrange(30))) for _ in range(r.randrange(8))]
+        ids, length, known = language_model.tokens(pa.array(texts, pa.string()))
+        known, at = known.to_pylist(), 0
+        assert len(set(known)) == len(known)
+        for t, n in zip(texts, length, strict=True):
+            words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", t.translate({c: c + 32 for c in range(65, 91)})) if w]
+            assert [known[i] for i in ids[at : at + n]] == [*(w.encode() for w in words), language_model.END]
+            at += n
+        assert at == len(ids)
+        size, cut = r.randrange(1, 30), r.randrange(len(texts) + 1)
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["text"]) for x in (texts[:cut], texts[cut:])]
+        expected = [[]]
+        for t in texts:
+            if sum(map(len, expected[-1])) >= size:
+                expected.append([])
+            expected[-1].append(t)
+        assert [b.column("text").to_pylist() for b in language_model._blocks(batches, size)] == [e for e in expected if e]
+
+
 def test_training_uses_every_document_and_rounds(spark, sf):
     """More blocks give more rounds; the sums of all tasks meet level by level."""
     rows = spark.range(100).repartition(50).select(F.lit(np.ones(3).tobytes()).alias("a"), F.lit(1.0).alias("w"))
