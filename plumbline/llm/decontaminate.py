@@ -35,6 +35,8 @@ Q, SHORT_Q, SHORT = 8, 6, 64
 BLOCK, READY = 4_000_000, 4
 #: Shared q-grams that are counted at once, and characters of text that a worker takes through all blocks.
 HITS, TEXTS = 2_000_000, 32_000_000
+#: Bytes of short texts that are filtered together, regions that are aligned together, and windows of a group.
+TOGETHER, PAIRS, RUN = 256_000, 1000, 16
 
 
 def normal(text: str | None) -> bytes:
@@ -42,20 +44,50 @@ def normal(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_CLEAN).split())
 
 
-def grams(data: bytes, q: int) -> np.ndarray:
-    """A 64-bit hash of the q bytes from each place on."""
-    if len(data) < q:
-        return np.zeros(0, np.uint64)
-    b = np.frombuffer(data + bytes(max(0, 8 - q)), np.uint8)
-    n = len(b) - 7
-    eight = np.lib.stride_tricks.as_strided(b, (n, 8), (1, 1)) if n > 0 else np.zeros((0, 8), np.uint8)
-    code = np.ascontiguousarray(eight).view(np.uint64)[:, 0]
-    m = len(data) - q + 1
-    if q < 8:
-        code, q = code & np.uint64(256**q - 1), 8
+def eights(data: bytes) -> np.ndarray:
+    """The 8 bytes from each place on as one number, zeros after the end."""
+    out, b = np.empty(len(data), np.uint64), data + bytes(16)
+    for i in range(min(8, len(data))):
+        part = out[i::8]
+        part[:] = np.frombuffer(b, np.uint64, len(part), i)
+    return out
+
+
+def hashed(code: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the first q of 8 bytes, one to one; its upper bits are well mixed."""
     with np.errstate(over="ignore"):
-        h = code[:m] * np.uint64(0x9E3779B97F4A7C15) ^ code[q - 8 : q - 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F)
-        return h ^ (h >> np.uint64(29))
+        return (code if q == 8 else code & np.uint64(256**q - 1)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def grams(data: bytes, q: int) -> np.ndarray:
+    """The hash of the q bytes (8 at most) from each place on."""
+    return hashed(eights(data)[: max(0, len(data) - q + 1)], q)
+
+
+def spread(first: np.ndarray, n: np.ndarray):
+    """(i, number): for each i the numbers from first[i] on, n[i] of them; some HITS at a time."""
+    ends, lo = np.cumsum(n), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HITS, "right")))
+        m = n[lo:hi]
+        total = int(m.sum())
+        yield np.repeat(np.arange(lo, hi), m), np.repeat(first[lo:hi] - np.cumsum(m) + m, m) + np.arange(total)
+        lo = hi
+
+
+def add_up(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, weights: np.ndarray):
+    """Sorted distinct keys and their counts, with more keys counted in."""
+    order = np.argsort(more, kind="stable")
+    more, weights = more[order], weights[order]
+    first = np.flatnonzero(np.r_[True, more[1:] != more[:-1]]) if len(more) else np.zeros(0, np.int64)
+    more, weights = more[first], np.add.reduceat(weights, first) if len(first) else weights
+    if not len(keys):
+        return more, weights
+    both, at = np.unique(np.r_[keys, more], return_inverse=True)
+    n = np.zeros(len(both), np.int64)
+    n[at[: len(keys)]] = counts
+    n[at[len(keys) :]] += weights
+    return both, n
 
 
 def align(pairs: list[tuple[bytes, bytes, int]], cells: int = 200_000) -> list[tuple[int, int, int] | None]:
@@ -115,119 +147,191 @@ class _Grams:
     def __init__(self, items: list[tuple[int, bytes]], q: int) -> None:
         self.q = q
         owners: dict[bytes, dict[int, None]] = {}
-        for item, data in items:
+        runs: list[tuple[int, int]] = []
+        for i, (item, data) in enumerate(items):
             size = min(len(data), WINDOW)
-            for at in (*range(0, len(data) - size, STEP), len(data) - size):
-                owners.setdefault(data[at : at + size], {})[item] = None
+            for j, at in enumerate((*range(0, len(data) - size, STEP), len(data) - size)):
+                window = data[at : at + size]
+                if window not in owners:
+                    owners[window] = {}
+                    runs.append((i, j // RUN))
+                owners[window][item] = None
         self.windows = list(owners)
         self.owners = [list(o) for o in owners.values()]
+        self.length = size = np.array([len(w) for w in self.windows])
+        # Neighbouring windows of a passage form a group; q-grams of a group are counted before those of its windows.
+        number = {r: i for i, r in enumerate(dict.fromkeys(runs))}
+        group = np.array([number[r] for r in runs], np.int64)
         codes = [grams(w, q) for w in self.windows]
-        size = np.array([len(w) for w in self.windows])
-        code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-        n = np.array([len(c) for c in codes], np.int64)
-        own = np.repeat(np.arange(len(codes)), n)
+        n = size - q + 1
+        code, own = np.concatenate(codes), np.repeat(np.arange(len(n)), n)
         place = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.argsort(code, kind="stable")
+        order = np.lexsort((group[own], code))
         code, self.own, self.place = code[order], own[order], place[order]
-        self.code, self.first = np.unique(code, return_index=True)
-        self.last = np.r_[self.first[1:], len(code)]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[code >> np.uint64(42)] = True
-        # The same by groups of windows that share an owner: most texts hold too few q-grams of any one to go on.
-        group = {o: i for i, o in enumerate(dict.fromkeys(x[0] for x in self.owners))}
-        self.group = np.array([group[o[0]] for o in self.owners], np.int64)
-        slot = np.repeat(np.arange(len(self.code)), self.last - self.first)
-        pairs = np.unique(slot * max(1, len(group)) + self.group[self.own])
-        self.g_slot, self.g_own = pairs // max(1, len(group)), pairs % max(1, len(group))
-        self.g_first = np.searchsorted(self.g_slot, np.arange(len(self.code) + 1))
+        # An entry is a place of a q-gram in a window; the entries of a q-gram in a group lie together as a pair.
+        change = np.r_[True, (code[1:] != code[:-1]) | (group[self.own[1:]] != group[self.own[:-1]])]
+        self.entry = np.r_[np.flatnonzero(change), len(code)]
+        self.group = group[self.own[self.entry[:-1]]]
+        self.code, first = np.unique(code[self.entry[:-1]], return_index=True)
+        self.pair = np.r_[first, len(self.group)]
+        # How often a window holds a q-gram: the most of any window of a pair, and of any with the q-gram.
+        once = np.flatnonzero(change | np.r_[True, self.own[1:] != self.own[:-1]])
+        often = np.diff(np.r_[once, len(code)])
+        self.often = np.maximum.reduceat(often, np.searchsorted(once, self.entry[:-1]))
+        self.most = np.maximum.reduceat(self.often, first)
+        self.shift = np.uint64(64 - min(24, max(16, (16 * len(self.code)).bit_length())))
+        top = (self.code >> self.shift).astype(np.int64)
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[top] = True
+        self.head = np.searchsorted(top, np.arange(len(self.bits))).astype(np.int32)
         self.budget = (size * BUDGET).astype(np.int64)
         self.need = np.maximum(1, size - q + 1 - (size * RATE).astype(np.int64) * q)
-        self.least = np.full(max(1, len(group)), 2**30)
-        np.minimum.at(self.least, self.group, self.need)
+        self.least = np.full(len(number), 2**30)
+        np.minimum.at(self.least, group, self.need)
         self.width = 2 * self.budget + 1
-        self.fine = [np.unique(grams(w, FINE_Q)) for w in self.windows]
-        self.fine_need = size - FINE_Q + 1 - FINE_Q * (size * FINE_RATE).astype(np.int64)
-
-    def bands(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(window, band) of every band that meets its window's bound, sorted. Shared q-grams are counted a bounded number at
-        a time; one that stands twice counts twice, which only adds candidates."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        g = grams(text, self.q)
-        at = np.flatnonzero(self.bits[g >> np.uint64(42)]) if len(self.code) else np.zeros(0, int)
-        if not len(at):
-            return none
-        slot = np.minimum(np.searchsorted(self.code, g[at]), len(self.code) - 1)
-        ok = self.code[slot] == g[at]
+        #: All q-grams of a band lie within so many places, so in two neighbouring blocks.
+        self.block = int((2 * self.width + size - q).max())
+        fine = [np.unique(eights(w)[: len(w) - FINE_Q + 1] & np.uint64(256**FINE_Q - 1)) for w in self.windows]
+        n = np.array([len(f) for f in fine])
+        self.fine, self.fine_first = np.concatenate(fine), np.r_[0, np.cumsum(n)]
+        # Duplicates in the window count once.
+        self.fine_need = n - FINE_Q * (size * FINE_RATE).astype(np.int64)
+
+    def hits(self, code: np.ndarray):
+        """(place, pair) of the shared q-grams of groups that share enough in two neighbouring blocks, some HITS at a time."""
+        g = hashed(code, self.q)
+        top = (g >> self.shift).view(np.int64)
+        at = np.flatnonzero(self.bits.take(top))
+        g, slot = g[at], self.head.take(top[at])
+        todo = np.flatnonzero(self.code[slot] < g)
+        while len(todo):
+            slot[todo] += 1
+            todo = todo[slot[todo] < len(self.code)]
+            todo = todo[self.code[slot[todo]] < g[todo]]
+        slot = np.minimum(slot, len(self.code) - 1)
+        ok = self.code[slot] == g
         at, slot = at[ok], slot[ok]
-        if not len(at):
-            return none
-        if len(self.code) < 100 * len(slot):
-            mark = np.zeros(len(self.code), bool)
-            mark[slot] = True
-            seen = np.flatnonzero(mark)
-        else:
-            seen = np.unique(slot)
-        n = self.g_first[seen + 1] - self.g_first[seen]
-        of = np.repeat(np.arange(len(seen)), n)
-        own = self.g_own[self.g_first[seen][of] + np.arange(len(of)) - (np.cumsum(n) - n)[of]]
-        alive = np.bincount(own, minlength=len(self.least)) >= self.least
-        if not alive.any():
-            return none
-        live = np.bincount(of[alive[own]], minlength=len(seen)) > 0
-        keep = live[np.searchsorted(seen, slot)]
-        at, slot = at[keep], slot[keep]
-        n = self.last[slot] - self.first[slot]
-        ends = np.cumsum(n)
-        span = len(text) // int(self.width.min()) + 8
-        # Where hits are more than bands, bands are counted in place; else by sorting the hits.
-        dense = np.zeros(len(self.windows) * span, np.int32) if ends[-1] > len(self.windows) * span else None
-        keys, counts, lo = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        while lo < len(at):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HITS, "right")))
-            m = n[lo:hi]
-            entry = np.repeat(self.first[slot[lo:hi]] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            own, text_at = self.own[entry], np.repeat(at[lo:hi], m)
-            if lo == 0 and hi == len(at):  # of the other windows nothing can come
-                ok = alive[self.group[own]]
-                own, entry, text_at = own[ok], entry[ok], text_at[ok]
-            band = (text_at - self.place[entry]) // self.width[own] + 5  # from 1 on
-            # Overlapping bands: each is two widths wide and starts a width after the one before.
-            key = np.r_[own * span + band, own * span + band - 1]
-            if dense is not None:
-                dense += np.bincount(key, minlength=len(dense)).astype(np.int32)
-                lo = hi
-                continue
-            key, count = np.unique(np.r_[keys, key], return_counts=True)
-            if len(keys):
-                count[np.searchsorted(key, keys)] += counts - 1
-            keys, counts, lo = key, count, hi
+        n_blocks, n_groups = len(code) // self.block + 2, len(self.least)
+
+        def near(count: np.ndarray, least) -> np.ndarray:
+            enough = count[:-1] + count[1:] >= least
+            out = np.zeros(count.shape, bool)
+            out[:-1] = enough
+            out[1:] |= enough
+            return out
+
+        block = at // self.block
+        ok = near(np.bincount(block, self.most[slot], n_blocks), self.least.min())[block]
+        at, slot, block = at[ok], slot[ok], block[ok]
+        first, n = self.pair[slot], self.pair[slot + 1] - self.pair[slot]
+        ends = np.r_[0, np.cumsum(n)]
+        begin = np.searchsorted(block, np.arange(n_blocks + 2))  # of each block's q-grams
+        lo, most = 0, max(1, 2 * HITS // n_groups)
+        while lo < n_blocks:  # some blocks, of which at most HITS pairs come, and the one before and after
+            hi = int(np.searchsorted(ends[begin], ends[begin[lo]] + HITS, "right")) - 1
+            hi = min(max(hi, lo + 1), lo + most, n_blocks)
+            base, top = max(0, lo - 1), min(hi + 1, n_blocks)
+            part = slice(begin[base], begin[top])
+            own, total, cells = block[part] - base, int(n[part].sum()), (top - base) * n_groups
+            if total:
+                whole = list(spread(first[part], n[part])) if total <= HITS else None
+                if dense := whole is None or cells <= 16 * total:
+                    count = np.zeros(cells)
+                    for of, pair in whole or spread(first[part], n[part]):
+                        count += np.bincount(own[of] * n_groups + self.group[pair], self.often[pair], cells)
+                    alive = near(count.reshape(-1, n_groups), self.least).ravel()
+                else:
+                    of, pair = (np.concatenate(x) for x in zip(*whole, strict=True))
+                    keys, counts = add_up(np.zeros(0, np.int64), np.zeros(0, np.int64), own[of] * n_groups + self.group[pair], self.often[pair])
+                    after = np.minimum(np.searchsorted(keys, keys + n_groups), len(keys) - 1)
+                    both = keys[after] == keys + n_groups
+                    alive = counts + counts[after] * both >= self.least[keys % n_groups]
+                    alive[after[both & alive]] = True
+                if alive.any():
+                    for of, pair in whole or spread(first[part], n[part]):
+                        key = own[of] * n_groups + self.group[pair]
+                        ok = alive[key if dense else np.searchsorted(keys, key)] & (own[of] >= lo - base) & (own[of] < hi - base)
+                        yield at[part][of[ok]], pair[ok]
+            lo = hi
+
+    def bands(self, code: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, window, band) of every band that meets its window's bound, sorted, for texts that begin at ``start``.
+        Shared q-grams are counted a bounded number at a time; one that stands twice counts twice, which only adds candidates."""
+        span = int(np.diff(np.r_[start, len(code) + 1]).max()) // int(self.width.min()) + 8
+        cells, total, dense = len(start) * len(self.windows) * span, 0, None
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for place, pair in self.hits(code):
+            text = np.searchsorted(start, place, "right") - 1
+            row, at = text * len(self.windows), place - start[text]
+            n = self.entry[pair + 1] - self.entry[pair]
+            total += int(n.sum())
+            if dense is None and total > cells:  # where hits are more than bands, bands are counted in place; else by sorting the hits
+                dense = np.zeros(cells, np.int32)
+                dense[keys] = counts
+            for of, entry in spread(self.entry[pair], n):
+                own = self.own[entry]
+                band = (at[of] - self.place[entry]) // self.width[own] + 5  # from 1 on
+                # Overlapping bands: each is two widths wide and starts a width after the one before.
+                key = (row[of] + own) * span + band
+                key = np.r_[key, key - 1]
+                if dense is not None:
+                    np.add.at(dense, key, 1)
+                else:
+                    keys, counts = add_up(keys, counts, *np.unique(key, return_counts=True))
         if dense is not None:
             keys = np.flatnonzero(dense)
             counts = dense[keys]
-        keys = keys[counts >= self.need[keys // span]]
-        return keys // span, keys % span - 5
+        own = keys // span % len(self.windows)
+        ok = counts >= self.need[own]
+        keys, own = keys[ok], own[ok]
+        return keys // (span * len(self.windows)), own, keys % span - 5
+
+    def regions(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
+        """(text, window, begin, end) of what may hold a window: merged bands that meet the bound for FINE_RATE too."""
+        size = np.array([len(t) for t in texts])
+        start = np.cumsum(size + 1) - size - 1
+        code = eights(b"\0".join(texts))  # no window holds a zero byte
+        text, own, band = self.bands(code, start)
+        if not len(text):
+            return []
+        cut = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (own[1:] != own[:-1]) | (band[1:] > band[:-1] + 2)])
+        last = band[np.r_[cut[1:], len(band)] - 1]
+        text, own, band = text[cut], own[cut], band[cut]
+        lo = np.maximum(0, band * self.width[own] - self.budget[own])
+        hi = np.minimum(size[text], (last + 2) * self.width[own] + self.length[own] + self.budget[own])
+        # Before the alignment the bound for FINE_RATE on short q-grams.
+        n, shared = np.maximum(0, hi - lo - FINE_Q + 1), np.zeros(len(text), np.int64)
+        tag = lambda of, gram: of.astype(np.uint64) << np.uint64(8 * FINE_Q) | gram
+        for i in range(0, len(text), 4096):
+            part = slice(i, i + 4096)
+            own_first = self.fine_first[own[part]]
+            fine = np.concatenate([tag(of, self.fine[f]) for of, f in spread(own_first, self.fine_first[own[part] + 1] - own_first)])
+            for of, at in spread(start[text[part]] + lo[part], n[part]):
+                if len(of):
+                    here = np.sort(tag(of, code[at] & np.uint64(256**FINE_Q - 1)))
+                    few = fine[slice(*np.searchsorted(fine, tag(of[[0, -1]] + [0, 1], np.uint64(0))))]
+                    found = few[here[np.minimum(np.searchsorted(here, few), len(here) - 1)] == few] >> np.uint64(8 * FINE_Q)
+                    shared[part] += np.bincount(found.astype(np.int64), minlength=len(own_first))
+        ok = shared >= self.fine_need[own]
+        return list(zip(*(x[ok].tolist() for x in (text, own, lo, hi)), strict=True))
 
     def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
-        pairs, at = [], []
-        for t, text in enumerate(texts):
-            own, band = self.bands(text)
-            if not len(own):
-                continue
-            cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (band[1:] > band[:-1] + 2)])
-            for i, j in zip(cut, np.r_[cut[1:], len(own)] - 1, strict=True):
-                w, k, width = self.windows[own[i]], int(self.budget[own[i]]), int(self.width[own[i]])
-                lo, hi = max(0, int(band[i]) * width - k), (int(band[j]) + 2) * width + len(w) + k
-                # Before the alignment the bound for FINE_RATE on short q-grams, whose duplicates in the window count once.
-                fine, region = self.fine[own[i]], text[lo:hi]
-                lost = len(w) - FINE_Q + 1 - len(fine)
-                if np.isin(fine, grams(region, FINE_Q), kind="sort").sum() < self.fine_need[own[i]] - lost:
-                    continue
-                pairs.append((w, region, k))
-                at.append((t, int(own[i]), lo))
         out: list[list] = [[] for _ in texts]
-        for (t, w, lo), found in zip(at, align(pairs), strict=True):
-            if found:
-                out[t] += [(item, lo + found[1], lo + found[2], found[0]) for item in self.owners[w]]
+        pairs, at, lo = [], [], 0
+        while lo < len(texts):
+            hi, n = lo + 1, len(texts[lo])
+            while hi < len(texts) and n + len(texts[hi]) <= TOGETHER:
+                n += len(texts[hi])
+                hi += 1
+            for t, w, begin, end in self.regions(texts[lo:hi]):
+                pairs.append((self.windows[w], texts[lo + t][begin:end], int(self.budget[w])))
+                at.append((lo + t, w, begin))
+            lo = hi
+            if len(pairs) >= PAIRS or lo == len(texts):
+                for (t, w, begin), found in zip(at, align(pairs), strict=True):
+                    if found:
+                        out[t] += [(item, begin + found[1], begin + found[2], found[0]) for item in self.owners[w]]
+                pairs, at = [], []
         return out
 
 
@@ -286,10 +390,8 @@ class Indexes:
         """For each text what is found in it: block by block, so that each index is made once for many texts."""
         out: list[list] = [[] for _ in texts]
         for i in range(len(self.blocks)):
-            index = self.get(i)
-            for lo in range(0, len(texts), 64):
-                for own, found in zip(out[lo : lo + 64], index.search_all(texts[lo : lo + 64]), strict=True):
-                    own += found
+            for own, found in zip(out, self.get(i).search_all(texts), strict=True):
+                own += found
         return out
 
 

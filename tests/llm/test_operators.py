@@ -596,6 +596,42 @@ def test_repetitive_texts_and_short_passages():
     assert idx.search(b"a short one here") == [(1, 2, 11, 0), (2, 2, 11, 0), (3, 8, 11, 0)] and idx.search(b"shorter ones") == []
 
 
+def test_passages_of_few_distinct_qgrams():
+    """Verbatim passages of a short period hold fewer distinct q-grams than the bound counts places."""
+    for unit in (b"ha ", b"la di ", b"a"):
+        for size in (40, 60, 90, 200):
+            item = (unit * 200)[:size].strip()
+            found = Index([(1, item)]).search(b"xyz " * 20 + item + b" qrs" * 20)
+            assert found and min(f[1] for f in found) <= 80 and max(f[2] for f in found) >= 80 + len(item), (unit, size)
+            assert {f[3] for f in found} == {0}
+
+
+def test_texts_are_filtered_together(monkeypatch):
+    """Short texts share the passes of the filter; what is found does not hang on what is taken together."""
+    from plumbline.llm import decontaminate
+
+    rng = random.Random(10)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(60)]
+    some = lambda n: " ".join(rng.choices(words, k=n)).encode()
+    items = [(i, some(n)) for i, n in enumerate((8, 12, 20, 60, 90, 400, 25))] + [(7, b"ha " * 30 + b"ha"), (8, some(2))]
+    texts = [b"", some(300), *(some(30) + b" " + x + b" " + some(rng.randint(0, 40)) for _, x in items), b"ha " * 300 + b"ha"]
+    texts += [some(10) + b" " + items[3][1][40:160] + b" " + some(5), items[4][1], items[4][1].replace(b"a", b"o", 5), some(3000)]
+    texts *= 10
+    idx, calls = Index(items), []
+    for name in {"grams", "eights"} & set(vars(decontaminate)):
+        monkeypatch.setattr(decontaminate, name, lambda *a, was=getattr(decontaminate, name): calls.append(1) or was(*a))
+    found = idx.search_all(texts)
+    assert len(calls) <= 20 and sum(map(bool, found)) >= 10 * (len(items) + 3)
+    assert found == [idx.search(t) for t in texts] and found == found[: len(texts) // 10] * 10
+    for hits, together in ((2, 256_000), (300, 256_000), (300, 1000), (20_000, 1), (2_000_000, 10**9)):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        monkeypatch.setattr(decontaminate, "TOGETHER", together)
+        part = texts[: len(texts) // 10]
+        if hits == 2:
+            part = part[:9]
+        assert idx.search_all(part) == found[: len(part)], (hits, together)
+
+
 def test_many_blocks_in_one_pass(spark, sf, monkeypatch):
     from plumbline.llm import decontaminate
 
